@@ -347,7 +347,7 @@ def near_in_group(n: np.ndarray, c: np.ndarray, sketch: list[np.ndarray], percen
     return found
 
 
-def _across(rows: DataFrame, nodes: DataFrame, percent: int, block: int = 1024, pack: int = 16384) -> DataFrame:
+def _across(rows: DataFrame, nodes: DataFrame, percent: int, block: int = 1024, pack: int = 2048) -> DataFrame:
     """Pairs (a, b) of different classes among the nodes of each signature, rows (sig, node, c, n), that may be similar.
 
     Groups of up to block nodes are compared whole, many in a task. Larger ones are dealt into blocks, and a task
