@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import line_crf, line_rules, mixing, partenum, pii, secrets, sharding, token_scan
+from tessera.llm import latent, line_crf, line_rules, mixing, partenum, pii, secrets, sharding, token_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = (
     op4_partenum_join,
     op5_boosted_pii,
     op7_hilbert_shards,
+    op8_latent_leaks,
     op9_source_mix,
     op10_line_crf,
 )
