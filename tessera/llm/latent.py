@@ -7,74 +7,79 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRIP = b".,;:!?\"'()[]"
+from tessera.llm.partenum import mixed
 
+#: Bytes that separate words, and bytes of marks that do not tell words apart (fixed values).
+SPACE = b" \t\n\v\f\r"
+MARKS = b".,;:!?\"'()[]"
 
-class Features(dict):
-    """Feature of a word, by hash of its lower-case form without marks around it; remembers a bounded number of words."""
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-    def __init__(self, size: int):
-        super().__init__()
-        self.size = size
 
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word.strip(STRIP)) % self.size
-        if len(self) < 1 << 18:
-            self[word] = found
-        return found
+class WordHashes:
+    """64-bit hashes of the words of a text, in lower case and without marks, by whole-array arithmetic.
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def split(text: str | None) -> list[bytes]:
-    """Words in lower case, of any alphabet, between ASCII white space."""
-    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
-
-
-def term_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """How often each feature occurs in all documents. One row for each feature and task is summed by Spark."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, total = Features(size), np.zeros(size, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(features.of(split(text)), minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["feature", "n"])
-
-    out = np.zeros(size, np.int64)
-    for row in docs.select("text").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        out[row["feature"]] = row["n"]
-    return out
-
-
-def gram_sketch(docs: DataFrame, weight: np.ndarray, probe: np.ndarray, passage: int) -> np.ndarray:
-    """(A' A) probe, for A the TF-IDF matrix of all passages of passage words of all documents, in one pass.
+    A word's hash is the polynomial of its bytes in an odd base modulo 2**64, from differences of one running sum, mixed.
+    """
 
-    Tasks add up their passages' part; rows of the result (features, not documents) are summed by Spark.
+    def __init__(self) -> None:
+        self.space, self.value = np.zeros(256, bool), np.arange(1, 257, dtype=np.uint64)
+        self.space[list(SPACE)] = True
+        self.value[[*SPACE, *MARKS]] = 0
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) <= n:
+            size = max(n + 1, 1 << 16)
+            self.powers = np.cumprod(np.r_[np.uint64(1), np.full(size, _BASE, np.uint64)], dtype=np.uint64)
+            self.inverses = np.cumprod(np.r_[np.uint64(1), np.full(size, _INVERSE, np.uint64)], dtype=np.uint64)
+
+    def of(self, text: str | None, piece: int = 1 << 20) -> np.ndarray:
+        """Hashes in order. A very long text goes through in pieces that end between words."""
+        raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+        found, start = [], 0
+        while start < len(raw):
+            end = min(len(raw), start + piece)
+            while end < len(raw) and not self.space[raw[end]]:
+                end += 1
+            found.append(self._piece(raw[start:end]))
+            start = end
+        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+    def _piece(self, raw: np.ndarray) -> np.ndarray:
+        gap = self.space[raw]
+        edges = np.flatnonzero(np.diff(np.r_[True, gap, True]))
+        first, last = edges[::2], edges[1::2]
+        value = self.value[raw]
+        kept = np.r_[0, np.cumsum(value != 0)]
+        self._reach(int(kept[-1]))
+        sums = np.r_[np.uint64(0), np.cumsum(value * self.powers[kept[:-1]], dtype=np.uint64)]
+        return mixed((sums[last] - sums[first]) * self.inverses[kept[first]])
+
+
+def passage_sketch(docs: DataFrame, probe: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of features in all documents, and (A' A) probe for A the counts by passage of passage words.
+
+    One pass. Tasks add up their passages' part; rows of the result (features, not documents) are summed by Spark.
     """
     size, rank = probe.shape
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, total = Features(size), np.zeros((size, rank), np.float64)
-        w, held, at = weight.astype(np.float32), [], 0
+        hashes, total, counts = WordHashes(), np.zeros((size, rank)), np.zeros(size, np.int64)
+        held, at, single = [], 0, probe.astype(np.float32)
 
         def add() -> None:
-            ids = np.concatenate(held)
-            a = np.bincount(ids, minlength=at * size).reshape(at, size).astype(np.float32)
-            a *= w
-            norm = np.sqrt(np.einsum("ij,ij->i", a, a))
-            a /= np.maximum(norm, 1e-12)[:, None]
-            total[:] += a.T @ (a @ probe.astype(np.float32))
+            a = np.bincount(np.concatenate(held), minlength=at * size).reshape(at, size).astype(np.float32)
+            counts[:] += a.sum(axis=0, dtype=np.float64).astype(np.int64)
+            total[:] += a.T @ (a @ single)
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = features.of(split(text))
+                ids = (hashes.of(text) % np.uint64(size)).astype(np.int64)
                 for start in range(0, len(ids), passage * 256):
                     some = ids[start : start + passage * 256]
                     held.append((np.arange(len(some)) // passage + at) * size + some)
@@ -84,32 +89,32 @@ def gram_sketch(docs: DataFrame, weight: np.ndarray, probe: np.ndarray, passage:
                         held, at = [], 0
         if at:
             add()
-        some = np.flatnonzero(total.any(axis=1))
-        flat = pa.array(total[some].ravel())
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * rank), flat)
-        yield pa.record_batch([pa.array(some.astype(np.int32)), rows], names=["feature", "z"])
-
-    parts = docs.select("text").mapInArrow(part, "feature int, z array<double>")
-    summed = parts.groupBy("feature").agg(F.array(*(F.sum(F.get("z", F.lit(i))) for i in range(rank))).alias("z"))
-    out = np.zeros((size, rank))
-    for row in summed.collect():
-        out[row["feature"]] = row["z"]
-    return out
+        some = np.flatnonzero(counts)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * rank), pa.array(total[some].ravel()))
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(counts[some]), rows], names=["feature", "n", "z"])
+
+    parts = docs.select("text").mapInArrow(part, "feature int, n long, z array<double>")
+    sums = [F.sum(F.get("z", F.lit(i))) for i in range(rank)]
+    counts, sketch = np.zeros(size, np.int64), np.zeros((size, rank))
+    for row in parts.groupBy("feature").agg(F.sum("n").alias("n"), F.array(*sums).alias("z")).collect():
+        counts[row["feature"]], sketch[row["feature"]] = row["n"], row["z"]
+    return counts, sketch
 
 
 def latent_space(docs: DataFrame, size: int, rank: int, passage: int, seed: int) -> np.ndarray:
-    """Feature vectors in the latent space of all passages: randomised SVD of their TF-IDF matrix A.
+    """Feature vectors in the latent space of all passages: randomised SVD of their TF-IDF matrix.
 
-    One pass gives the sketch Z = A' A Q for Gaussian Q; A' A is about Z (Q' Z)^-1 Z' (Nystrom), whose eigenvectors and
-    values are the right singular vectors and squared singular values of A. Coordinates are divided by singular values,
-    so that what all passages have in common does not make all of them alike. Rows carry the IDF weight.
+    With counts A and IDF weights D the matrix is A D. One pass gives A' A Q for Gaussian Q, and so the sketch
+    Z = (D A' A D) P of its Gram matrix for the probe P = D^-1 Q. The Gram matrix is about Z (P' Z)^-1 Z' (Nystrom), whose
+    eigenvectors and values are the right singular vectors and squared singular values of A D. Coordinates are divided
+    by singular values, so that what all passages have in common does not make all of them alike. Rows carry D.
     """
-    counts = term_counts(docs, size)
-    weight = np.log((counts.sum() + 1.0) / (counts + 1.0))
-    weight = np.where(counts > 0, weight, weight.max(initial=0.0))
     probe = np.random.default_rng(seed).standard_normal((size, rank))
-    sketch = gram_sketch(docs, weight, probe, passage)
-    core = probe.T @ sketch
+    counts, sketch = passage_sketch(docs, probe, passage)
+    weight = np.log((counts.sum() + 1.0) / (counts + 1.0))
+    weight = np.maximum(np.where(counts > 0, weight, weight.max(initial=0.0)), 1e-3)
+    sketch = sketch * weight[:, None]
+    core = (probe / weight[:, None]).T @ sketch
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > max(values.max(initial=0.0) * 1e-9, 1e-12)
     if not keep.any():
@@ -153,17 +158,18 @@ class Item:
     places: dict[int, int]
     answer: set[int]
     vectors: np.ndarray
+    features: np.ndarray
 
 
 def prepared(items: list[tuple[int, str]], space: np.ndarray, width: int, stride: int, least: int, answers: int) -> list[Item]:
-    features, out = Features(len(space)), []
+    hashes, out = WordHashes(), []
     heavy = np.linalg.norm(space, axis=1)
     for item_id, text in sorted(items, key=lambda i: (i[0] is None, i[0] or 0, i[1] or "")):
-        words = split(text)
+        words = hashes.of(text)
         if len(words) < least:
             continue
-        ids = features.of(words)
-        exact = [xxhash.xxh3_64_intdigest(w.strip(STRIP)) for w in words]
+        ids = (words % np.uint64(len(space))).astype(np.int64)
+        exact = words.tolist()
         places: dict[int, int] = {}
         for i, w in enumerate(exact):
             places[w] = places.get(w, 0) | 1 << i
@@ -176,7 +182,9 @@ def prepared(items: list[tuple[int, str]], space: np.ndarray, width: int, stride
             views.append(ids[-width:])
         sums = np.stack([space[v].sum(axis=0) for v in views])
         vectors = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
-        out.append(Item(item_id, len(words), places, set(rare), vectors.astype(np.float32)))
+        seen = np.zeros(len(space), bool)
+        seen[ids] = True
+        out.append(Item(item_id, len(words), places, set(rare), vectors.astype(np.float32), seen))
     return out
 
 
@@ -230,16 +238,16 @@ def find_leaks(
         owner = np.repeat(np.arange(len(wanted)), [len(i.vectors) for i in wanted])
 
         def search(batches: Iterator[pa.RecordBatch], wanted=wanted, table=table, owner=owner) -> Iterator[pa.RecordBatch]:
-            features = Features(size)
+            hashes = WordHashes()
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = split(text)
-                    if not words:
+                    words = hashes.of(text)
+                    if not len(words):
                         continue
                     best: dict[int, tuple] = {}
                     near = []
-                    ids = features.of(words)
+                    ids = (words % np.uint64(size)).astype(np.int64)
                     for first in range(0, len(ids), 6000):  # whole texts, a bounded matrix at a time
                         views = windows(ids[first : first + 6000 + width], space, width, stride)
                         close = views @ table
@@ -247,16 +255,16 @@ def find_leaks(
                         near.extend(zip((at * stride + first).tolist(), owner[column].tolist(), close[at, column].tolist(), strict=True))
                     if not near:
                         continue
-                    exact = [xxhash.xxh3_64_intdigest(w.strip(STRIP)) for w in words]
                     done: set[tuple[int, int]] = set()
                     for start, number, value in near:
                         if (start, number) in done:
                             continue
                         done.add((start, number))
                         item = wanted[number]
-                        about = exact[max(0, start - item.length) : start + width + item.length]
-                        if sum(w in item.places for w in about) < common * item.length:
-                            continue
+                        part = slice(max(0, start - item.length), start + width + item.length)
+                        if np.count_nonzero(item.features[ids[part]]) < common * item.length:
+                            continue  # words that could be the item's are too few
+                        about = words[part].tolist()
                         share = common_subsequence(item.places, about) / item.length
                         told = len(item.answer.intersection(about)) / len(item.answer)
                         if share >= common and told >= answered and (number not in best or (share, value) > best[number][:2]):
