@@ -124,8 +124,8 @@ def latent_space(docs: DataFrame, size: int, rank: int, passage: int, seed: int)
     return u / np.maximum(s, s.max() * 1e-6) * weight[:, None]
 
 
-def windows(ids: np.ndarray, space: np.ndarray, width: int, stride: int) -> np.ndarray:
-    """Unit vectors of the windows of width words that start at multiples of stride; width is a multiple of stride."""
+def windows(ids: np.ndarray, space: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors, and their lengths, of the windows of width words that start at multiples of stride; width is a multiple of stride."""
     n = len(ids)
     starts = np.arange(0, max(1, n - width + stride), stride)
     sums = np.add.reduceat(space[ids], np.arange(0, n, stride), axis=0)
@@ -134,7 +134,7 @@ def windows(ids: np.ndarray, space: np.ndarray, width: int, stride: int) -> np.n
     for i in range(1, steps):
         more = sums[i : i + len(starts)]
         total[: len(more)] += more
-    return total / np.maximum(np.linalg.norm(total, axis=1), 1e-12)[:, None]
+    return total, np.sqrt(np.maximum(np.einsum("ij,ij->i", total, total), 1e-24))
 
 
 def common_subsequence(item: dict[int, int], words: list[int]) -> int:
@@ -196,7 +196,7 @@ def find_leaks(
     passage: int = 128,
     width: int = 24,
     stride: int = 12,
-    cosine: float = 0.5,
+    cosine: float = 0.55,
     common: float = 0.6,
     answers: int = 8,
     answered: float = 0.5,
@@ -249,10 +249,13 @@ def find_leaks(
                     near = []
                     ids = (words % np.uint64(size)).astype(np.int64)
                     for first in range(0, len(ids), 6000):  # whole texts, a bounded matrix at a time
-                        views = windows(ids[first : first + 6000 + width], space, width, stride)
+                        views, norm = windows(ids[first : first + 6000 + width], space, width, stride)
                         close = views @ table
-                        at, column = np.nonzero(close >= cosine)
-                        near.extend(zip((at * stride + first).tolist(), owner[column].tolist(), close[at, column].tolist(), strict=True))
+                        places = np.flatnonzero(close >= (cosine * norm)[:, None])
+                        if len(places):
+                            at, column = np.divmod(places, close.shape[1])
+                            value = close.ravel()[places] / norm[at]
+                            near.extend(zip((at * stride + first).tolist(), owner[column].tolist(), value.tolist(), strict=True))
                     if not near:
                         continue
                     done: set[tuple[int, int]] = set()
