@@ -196,7 +196,7 @@ def find_leaks(
     passage: int = 128,
     width: int = 24,
     stride: int = 12,
-    cosine: float = 0.55,
+    cosine: float = 0.5,
     common: float = 0.6,
     answers: int = 8,
     answered: float = 0.5,
@@ -236,8 +236,10 @@ def find_leaks(
             continue
         table = np.concatenate([i.vectors for i in wanted]).T.copy()
         owner = np.repeat(np.arange(len(wanted)), [len(i.vectors) for i in wanted])
+        length = np.array([i.length for i in wanted])
+        features = np.stack([i.features for i in wanted])
 
-        def search(batches: Iterator[pa.RecordBatch], wanted=wanted, table=table, owner=owner) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], wanted=wanted, table=table, owner=owner, length=length, features=features) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
                 rows = []
@@ -252,22 +254,22 @@ def find_leaks(
                         views, norm = windows(ids[first : first + 6000 + width], space, width, stride)
                         close = views @ table
                         places = np.flatnonzero(close >= (cosine * norm)[:, None])
-                        if len(places):
-                            at, column = np.divmod(places, close.shape[1])
-                            value = close.ravel()[places] / norm[at]
-                            near.extend(zip((at * stride + first).tolist(), owner[column].tolist(), value.tolist(), strict=True))
-                    if not near:
-                        continue
-                    done: set[tuple[int, int]] = set()
-                    for start, number, value in near:
-                        if (start, number) in done:
+                        if not len(places):
                             continue
-                        done.add((start, number))
-                        item = wanted[number]
-                        part = slice(max(0, start - item.length), start + width + item.length)
-                        if np.count_nonzero(item.features[ids[part]]) < common * item.length:
-                            continue  # words that could be the item's are too few
-                        about = words[part].tolist()
+                        at, column = np.divmod(places, close.shape[1])
+                        value = close.ravel()[places] / norm[at]
+                        start, number = at * stride + first, owner[column]
+                        low = np.maximum(start - length[number], 0)
+                        high = np.minimum(start + width + length[number], len(ids))
+                        # how many words about each window could be the item's: running counts for each item met here
+                        base, upto = int(low.min()), int(high.max())
+                        met, row = np.unique(number, return_inverse=True)
+                        could = np.zeros((len(met), upto - base + 1), np.int32)
+                        np.cumsum(features[met][:, ids[base:upto]], axis=1, out=could[:, 1:])
+                        enough = could[row, high - base] - could[row, low - base] >= common * length[number]
+                        near.extend(zip(*(x[enough].tolist() for x in (start, number, value, low, high)), strict=True))
+                    for start, number, value, low, high in near:
+                        item, about = wanted[number], words[low:high].tolist()
                         share = common_subsequence(item.places, about) / item.length
                         told = len(item.answer.intersection(about)) / len(item.answer)
                         if share >= common and told >= answered and (number not in best or (share, value) > best[number][:2]):
