@@ -270,9 +270,11 @@ def find_leaks(
                         near.extend(zip(*(x[enough].tolist() for x in (start, number, value, low, high)), strict=True))
                     for start, number, value, low, high in near:
                         item, about = wanted[number], words[low:high].tolist()
-                        share = common_subsequence(item.places, about) / item.length
                         told = len(item.answer.intersection(about)) / len(item.answer)
-                        if share >= common and told >= answered and (number not in best or (share, value) > best[number][:2]):
+                        if told < answered:
+                            continue
+                        share = common_subsequence(item.places, about) / item.length
+                        if share >= common and (number not in best or (share, value) > best[number][:2]):
                             best[number] = (share, value, told, start)
                     rows.extend((doc_id, wanted[i].item_id, v, s, t, a) for i, (s, v, t, a) in sorted(best.items()))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 6
