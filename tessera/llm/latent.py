@@ -261,13 +261,15 @@ def find_leaks(
                         start, number = at * stride + first, owner[column]
                         low = np.maximum(start - length[number], 0)
                         high = np.minimum(start + width + length[number], len(ids))
-                        # how many words about each window could be the item's: running counts for each item met here
-                        base, upto = int(low.min()), int(high.max())
-                        met, row = np.unique(number, return_inverse=True)
-                        could = np.zeros((len(met), upto - base + 1), np.int32)
-                        np.cumsum(features[met][:, ids[base:upto]], axis=1, out=could[:, 1:])
-                        enough = could[row, high - base] - could[row, low - base] >= common * length[number]
-                        near.extend(zip(*(x[enough].tolist() for x in (start, number, value, low, high)), strict=True))
+                        for c in range(0, len(start), 4096):
+                            some = slice(c, c + 4096)
+                            # how many of the words about each window could be the item's
+                            span = np.arange((high[some] - low[some]).max())
+                            inside = span < (high[some] - low[some])[:, None]
+                            spread = ids[np.minimum(low[some][:, None] + span, len(ids) - 1)]
+                            could = np.count_nonzero(features[number[some][:, None], spread] & inside, axis=1)
+                            enough = could >= common * length[number[some]]
+                            near.extend(zip(*(x[some][enough].tolist() for x in (start, number, value, low, high)), strict=True))
                     for start, number, value, low, high in near:
                         item, about = wanted[number], words[low:high].tolist()
                         told = len(item.answer.intersection(about)) / len(item.answer)
