@@ -221,69 +221,114 @@ def find_leaks(
     Returns doc_id, item_id, cosine, common (share of the item), answered (share of its answer), first_word.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, cosine double, common double, answered double, first_word long"
+    names = ["item_id", "cosine", "common", "answered", "first_word"]
+    kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+    out = docs.sparkSession.createDataFrame([], schema)
+    for leaks in _searches(docs, benchmark, size, rank, passage, width, stride, cosine, common, answers, answered, least, chunk, seed):
+
+        def search(batches: Iterator[pa.RecordBatch], leaks=leaks) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                rows, ids = [], []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = leaks(hashes.of(text))
+                    rows.extend(found)
+                    ids.extend([doc_id] * len(found))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+                yield pa.record_batch(
+                    [pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names]
+                )
+
+        out = out.unionAll(docs.mapInArrow(search, schema))
+    return out
+
+
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    size: int = 2048,
+    rank: int = 64,
+    passage: int = 128,
+    width: int = 24,
+    stride: int = 12,
+    cosine: float = 0.5,
+    common: float = 0.6,
+    answers: int = 8,
+    answered: float = 0.5,
+    least: int = 8,
+    chunk: int = 5000,
+    seed: int = 5,
+) -> DataFrame:
+    """The rows of docs, with all their columns, in which find_leaks finds nothing; a filter without a shuffle."""
+    place, left = docs.columns.index("text"), docs
+    for leaks in _searches(docs, benchmark, size, rank, passage, width, stride, cosine, common, answers, answered, least, chunk, seed):
+
+        def clean(batches: Iterator[pa.RecordBatch], leaks=leaks) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                free = [not leaks(hashes.of(text)) for text in batch.column(place).to_pylist()]
+                yield batch.filter(pa.array(free, pa.bool_()))
+
+        left = left.mapInArrow(clean, docs.schema)
+    return left
+
+
+def _searches(docs, benchmark, size, rank, passage, width, stride, cosine, common, answers, answered, least, chunk, seed):
+    """For each chunk of items a function from a text's word hashes to rows (item_id, cosine, common, answered, first_word)."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     count = items.count()
     if not count:
-        return docs.sparkSession.createDataFrame([], schema)
+        return
     space = latent_space(docs, size, rank, passage, seed).astype(np.float32)
     chunks = -(-count // chunk)
-    out = None
     for number in range(chunks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == number) if chunks > 1 else items
         wanted = prepared([(r["item_id"], r["text"]) for r in some.collect()], space, width, stride, least, answers)
-        if not wanted:
-            continue
-        table = np.concatenate([i.vectors for i in wanted]).T.copy()
-        owner = np.repeat(np.arange(len(wanted)), [len(i.vectors) for i in wanted])
-        length = np.array([i.length for i in wanted])
-        features = np.stack([i.features for i in wanted])
-
-        def search(batches: Iterator[pa.RecordBatch], wanted=wanted, table=table, owner=owner, length=length, features=features) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = hashes.of(text)
-                    if not len(words):
-                        continue
-                    best: dict[int, tuple] = {}
-                    near = []
-                    ids = (words % np.uint64(size)).astype(np.int64)
-                    for first in range(0, len(ids), 6000):  # whole texts, a bounded matrix at a time
-                        views, norm = windows(ids[first : first + 6000 + width], space, width, stride)
-                        close = views @ table
-                        places = np.flatnonzero(close >= (cosine * norm)[:, None])
-                        if not len(places):
-                            continue
-                        at, column = np.divmod(places, close.shape[1])
-                        value = close.ravel()[places] / norm[at]
-                        start, number = at * stride + first, owner[column]
-                        low = np.maximum(start - length[number], 0)
-                        high = np.minimum(start + width + length[number], len(ids))
-                        for c in range(0, len(start), 4096):
-                            some = slice(c, c + 4096)
-                            # how many of the words about each window could be the item's
-                            span = np.arange((high[some] - low[some]).max())
-                            inside = span < (high[some] - low[some])[:, None]
-                            spread = ids[np.minimum(low[some][:, None] + span, len(ids) - 1)]
-                            could = np.count_nonzero(features[number[some][:, None], spread] & inside, axis=1)
-                            enough = could >= common * length[number[some]]
-                            near.extend(zip(*(x[some][enough].tolist() for x in (start, number, value, low, high)), strict=True))
-                    for start, number, value, low, high in near:
-                        item, about = wanted[number], words[low:high].tolist()
-                        told = len(item.answer.intersection(about)) / len(item.answer)
-                        if told < answered:
-                            continue
-                        share = common_subsequence(item.places, about) / item.length
-                        if share >= common and (number not in best or (share, value) > best[number][:2]):
-                            best[number] = (share, value, told, start)
-                    rows.extend((doc_id, wanted[i].item_id, v, s, t, a) for i, (s, v, t, a) in sorted(best.items()))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                names = ["doc_id", "item_id", "cosine", "common", "answered", "first_word"]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-        found = docs.mapInArrow(search, schema)
-        out = found if out is None else out.unionAll(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        if wanted:
+            yield _searcher(wanted, space, width, stride, cosine, common, answered)
+
+
+def _searcher(wanted: list[Item], space: np.ndarray, width: int, stride: int, cosine: float, common: float, answered: float):
+    table = np.concatenate([i.vectors for i in wanted]).T.copy()
+    owner = np.repeat(np.arange(len(wanted)), [len(i.vectors) for i in wanted])
+    length = np.array([i.length for i in wanted])
+    features = np.stack([i.features for i in wanted])
+
+    def candidates(ids: np.ndarray) -> Iterator[tuple]:
+        """Windows and items of high cosine where enough words about the window could be the item's."""
+        for first in range(0, len(ids), 6000):  # whole texts, a bounded matrix at a time
+            views, norm = windows(ids[first : first + 6000 + width], space, width, stride)
+            close = views @ table
+            places = np.flatnonzero(close >= (cosine * norm)[:, None])
+            if not len(places):
+                continue
+            at, column = np.divmod(places, close.shape[1])
+            value = close.ravel()[places] / norm[at]
+            start, number = at * stride + first, owner[column]
+            low = np.maximum(start - length[number], 0)
+            high = np.minimum(start + width + length[number], len(ids))
+            for c in range(0, len(start), 4096):
+                some = slice(c, c + 4096)
+                span = np.arange((high[some] - low[some]).max())
+                inside = span < (high[some] - low[some])[:, None]
+                spread = ids[np.minimum(low[some][:, None] + span, len(ids) - 1)]
+                could = np.count_nonzero(features[number[some][:, None], spread] & inside, axis=1)
+                enough = could >= common * length[number[some]]
+                yield from zip(*(x[some][enough].tolist() for x in (start, number, value, low, high)), strict=True)
+
+    def leaks(words: np.ndarray) -> list[tuple]:
+        best: dict[int, tuple] = {}
+        if not len(words):
+            return []
+        for start, number, value, low, high in candidates((words % np.uint64(len(space))).astype(np.int64)):
+            item, about = wanted[number], words[low:high].tolist()
+            told = len(item.answer.intersection(about)) / len(item.answer)
+            if told < answered:
+                continue
+            share = common_subsequence(item.places, about) / item.length
+            if share >= common and (number not in best or (share, value) > best[number][:2]):
+                best[number] = (share, value, told, start)
+        return [(wanted[i].item_id, v, s, t, a) for i, (s, v, t, a) in sorted(best.items())]
+
+    return leaks

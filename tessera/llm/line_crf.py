@@ -213,3 +213,16 @@ def line_crf_quality(docs: DataFrame, labels: DataFrame, sample: int = 1500, lin
     return docs.select(doc_id.alias("doc_id"), held.alias("held_out"), "text").mapInArrow(
         judge, "doc_id long, held_out boolean, score double, predicted int, n_lines long"
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 1500, lines: int = 128, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores threshold or more; see line_crf_quality."""
+    model = fit(training_rows(docs, labels, sample, lines))
+    place = docs.columns.index("text")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [model.score(*text_features(text.as_py() or "")) >= threshold for text in batch.column(place)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)

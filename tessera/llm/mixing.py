@@ -156,3 +156,16 @@ def mix_slots(
             "out_shard", "source", "_slot as slot", "_block as block", "doc_id", "_first as first_word", "_words as words"
         )
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """Rows of docs, with all their columns, as often as the mix takes them, to the nearest whole copy (0 to REPEATS).
+
+    Documents of which the mix takes less than half go; so do documents without words, of which it takes nothing.
+    """
+    taken = mix_sources(docs, **options).groupBy("doc_id").agg(
+        F.round(F.expr("try_divide(sum(taken), sum(size))")).cast("int").alias("_copies")
+    )
+    same = docs["doc_id"].eqNullSafe(taken["doc_id"])
+    copies = docs.join(taken.where("_copies > 0"), same).select(*(docs[c] for c in docs.columns), "_copies")
+    return copies.select(*docs.columns, F.explode(F.expr("sequence(1, _copies)")).alias("_copy")).drop("_copy")

@@ -437,3 +437,18 @@ def similar_components(
         classes = stage(components(links.union(more)), "classes")
     found = members.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row, with all its columns, of each class of similar_components: that of the least doc_id.
+
+    Of rows with equal doc_id one stays; rows with a null doc_id stay, as they link with nothing.
+    """
+    classes = similar_components(docs, words, percent)
+    gone = stage(classes.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    ids = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if ids.isEmpty():
+        return left
+    known = left.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return known.unionByName(left.where("doc_id is null"))

@@ -47,6 +47,12 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.line_crf_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = (
     op1_secret_battery,
     op2_line_first,
@@ -57,6 +63,7 @@ QUERIES = (
     op8_latent_leaks,
     op9_source_mix,
     op10_line_crf,
+    pipeline,
 )
 
 
