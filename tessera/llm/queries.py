@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import latent, line_crf, line_rules, mixing, partenum, pii, secrets, sharding, token_scan
+from tessera.llm import latent, line_crf, line_rules, mixing, partenum, pii, secrets, sharding, suffix_merge, token_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_merge.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -59,6 +63,7 @@ QUERIES = (
     op3_separator_scan,
     op4_partenum_join,
     op5_boosted_pii,
+    op6_suffix_runs,
     op7_hilbert_shards,
     op8_latent_leaks,
     op9_source_mix,
