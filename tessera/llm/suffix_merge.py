@@ -60,7 +60,8 @@ def anchors(raw: np.ndarray, length: int, gram: int, rolling: Rolling) -> tuple[
     chosen = (sliding_least(order, length - gram + 1) & np.uint64((1 << 30) - 1)).astype(np.int64)
     edge = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
     at = chosen[edge]
-    return prints[at], at, edge, np.r_[edge[1:], len(chosen)] - 1
+    # least hashes crowd at the low end of their range, and parts are ranges of fingerprints: so they are mixed again
+    return mixed(prints[at] ^ np.uint64(_BASE)), at, edge, np.r_[edge[1:], len(chosen)] - 1
 
 
 # ---- front-coded runs and their merge
