@@ -215,7 +215,8 @@ def sorted_runs(docs: DataFrame, length: int, gram: int, parts: int, flush: int
                 lefts = [records[s][1] for s in strings]
                 counts = [records[s][0] for s in strings]
                 sizes = _numbers(shared), _numbers([len(r) for r in rest]), _numbers(lefts), _numbers(counts)
-                rows.append((part, b"".join(sizes), b"".join(rest), len(strings), None, None, None, None))
+                packed = pa.compress(b"".join(rest), "zstd", asbytes=True)
+                rows.append((part, b"".join(sizes), packed, len(strings), None, None, None, None))
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             names = ["part", "numbers", "rest", "n", "hi", "lo", "key", "first"]
             for a in range(0, len(rows), 4096):
@@ -254,7 +255,8 @@ def merged_repeats(runs: DataFrame, length: int) -> DataFrame:
         coded, lefts, counts = [], [], []
         for numbers, rest, n in zip(*(rows.column(c).to_pylist() for c in ("numbers", "rest", "n")), strict=True):
             shared, sizes, left, count = np.frombuffer(numbers, "<u4").reshape(4, n)
-            coded.append((shared.tolist(), _cut(rest, sizes.astype(np.int64))))
+            whole = pa.decompress(rest, int(sizes.sum(dtype=np.int64)), "zstd", asbytes=True)
+            coded.append((shared.tolist(), _cut(whole, sizes.astype(np.int64))))
             lefts.append(left.tolist())
             counts.append(count.tolist())
         found: list[tuple] = []
