@@ -31,7 +31,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 18:
+        if len(self) < 1 << 17:
             self[word] = found
         return found
 
@@ -178,7 +178,7 @@ def shingle_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n_shingles long, hi long, lo long, sketch array<long>")
 
 
-def shared_signatures(docs: DataFrame, words: int, scheme: PartEnum, parts: int, flush: int = 1 << 20) -> DataFrame:
+def shared_signatures(docs: DataFrame, words: int, scheme: PartEnum, parts: int, flush: int = 1 << 18) -> DataFrame:
     """Rows (sig, doc_id, hub) of signatures that two documents or more have: hub is one of them, the same for all.
 
     Signatures travel packed: a task sends, for each of the parts of the signature range, one binary row rather than
