@@ -347,9 +347,31 @@ def near_in_group(n: np.ndarray, c: np.ndarray, sketch: list[np.ndarray], percen
     return found
 
 
-def _across(rows: DataFrame, nodes: DataFrame, percent: int, block: int = 1024, pack: int = 2048) -> DataFrame:
+def spanning(pairs: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of pairs of places, as many as connect the classes c that the pairs connect, and no circle among them."""
+    _, label = np.unique(c, return_inverse=True)
+    first, second = label[pairs[:, 0]], label[pairs[:, 1]]
+    joined = np.arange(label.max(initial=-1) + 1)
+    chosen = [np.zeros(0, np.int64)]
+    while True:
+        a, b = joined[first], joined[second]
+        live = np.flatnonzero(a != b)
+        if not len(live):
+            return pairs[np.concatenate(chosen)]
+        low, high = np.minimum(a, b)[live], np.maximum(a, b)[live]
+        ends, at = np.unique(high, return_index=True)  # each class takes one pair to a lower one, so no circle arises
+        chosen.append(live[at])
+        to = np.arange(len(joined))
+        to[ends] = low[at]
+        while (to != to[to]).any():
+            to = to[to]
+        joined = to[joined]
+
+
+def _across(rows: DataFrame, nodes: DataFrame, percent: int, forest: bool, block: int = 1024, pack: int = 2048) -> DataFrame:
     """Pairs (a, b) of different classes among the nodes of each signature, rows (sig, node, c, n), that may be similar.
 
+    All such pairs, or with forest only as many as connect the classes: fewer than there are nodes.
     Groups of up to block nodes are compared whole, many in a task. Larger ones are dealt into blocks, and a task
     compares two blocks, so no task holds more than two blocks of one signature.
     """
@@ -377,7 +399,8 @@ def _across(rows: DataFrame, nodes: DataFrame, percent: int, block: int = 1024,
         for b in ends:
             at = order[a:b]
             found = near_in_group(size[at], c[at], [sketch[i] for i in at], percent, own[at] if p != q else None)
-            pairs.extend(np.sort(node[at][f], axis=1) for f in found if len(f))
+            near = np.concatenate([f for f in found if len(f)] or [pairs[0]])
+            pairs.append(np.sort(node[at][spanning(near, c[at]) if forest else near], axis=1))
             a = b
         both = np.unique(np.concatenate(pairs), axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
@@ -393,7 +416,9 @@ def similar_components(
     Equal sets are one node. Documents that share a signature are candidates. First each is compared with the hub of
     its signature, which finds the classes of copies in a number of comparisons linear in the group. Then, where a
     signature's documents still lie in several classes, pairs across classes are compared, so that no link between
-    classes is lost: by size and sketch in blocks, where only what may be similar is emitted, and last by the sets.
+    classes is lost: by size and sketch in blocks, and last by the sets. A first round verifies only as many pairs as
+    would connect the classes, which merges most of them; the second verifies every pair that may be similar and still
+    lies across classes.
 
     Rows of equal doc_id are one node, the set with the least hash standing for it. Rows with a null doc_id link with
     nothing and have component_id null; null or empty texts have no shingles and are alone; an empty table gives no
@@ -431,10 +456,13 @@ def similar_components(
 
     rows = shared.select("sig", "node").union(shared.select("sig", F.col("hub").alias("node"))).distinct()
     rows = stage(classed(rows), "split")
-    across = _across(rows, nodes, percent).join(tested, ["a", "b"], "left_anti")
-    more = stage(_linked(across, docs, nodes, words, percent), "more-links")
-    if not more.isEmpty():
-        classes = stage(components(links.union(more)), "classes")
+    for forest in (True, False):
+        across = _across(rows, nodes, percent, forest).join(tested, ["a", "b"], "left_anti")
+        more = stage(_linked(across, docs, nodes, words, percent), "more-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            classes = stage(components(links), "classes")
+            rows = stage(classed(rows.select("sig", "node")), "split")
     found = members.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
