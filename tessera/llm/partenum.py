@@ -409,16 +409,16 @@ def _across(rows: DataFrame, nodes: DataFrame, percent: int, forest: bool, block
 
 
 def similar_components(
-    docs: DataFrame, words: int = 5, percent: int = 80, part_signatures: int = 1 << 18
+    docs: DataFrame, words: int = 5, percent: int = 80, part_signatures: int = 1 << 18, few: int = 32
 ) -> DataFrame:
     """Classes of documents that chains of links connect; two link if the Jaccard of their shingle sets is percent / 100.
 
     Equal sets are one node. Documents that share a signature are candidates. First each is compared with the hub of
     its signature, which finds the classes of copies in a number of comparisons linear in the group. Then, where a
     signature's documents still lie in several classes, pairs across classes are compared, so that no link between
-    classes is lost: by size and sketch in blocks, and last by the sets. A first round verifies only as many pairs as
-    would connect the classes, which merges most of them; the second verifies every pair that may be similar and still
-    lies across classes.
+    classes is lost: by size and sketch in blocks, and last by the sets. In signatures of more than few documents a first round
+    verifies only as many pairs as would connect the classes, which merges most of them; the second round verifies, in
+    every signature, each pair that may be similar and still lies across classes.
 
     Rows of equal doc_id are one node, the set with the least hash standing for it. Rows with a null doc_id link with
     nothing and have component_id null; null or empty texts have no shingles and are alone; an empty table gives no
@@ -457,7 +457,8 @@ def similar_components(
     rows = shared.select("sig", "node").union(shared.select("sig", F.col("hub").alias("node"))).distinct()
     rows = stage(classed(rows), "split")
     for forest in (True, False):
-        across = _across(rows, nodes, percent, forest).join(tested, ["a", "b"], "left_anti")
+        # a signature of few documents has at most (few - 1) / 2 pairs for each, so it needs no first round
+        across = _across(rows.where(F.col("n") > few) if forest else rows, nodes, percent, forest).join(tested, ["a", "b"], "left_anti")
         more = stage(_linked(across, docs, nodes, words, percent), "more-links")
         if not more.isEmpty():
             links = links.union(more)
