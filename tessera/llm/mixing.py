@@ -109,6 +109,20 @@ def _parts(packed: DataFrame, block_words: int) -> DataFrame:
     return parts.withColumn("_first", first - F.col("_start")).withColumn("_words", last - first)
 
 
+def _taken(
+    docs: DataFrame, block_words: int, out_shards: int, seed: int, rows_per_bucket: int
+) -> tuple[DataFrame, DataFrame]:
+    """Words taken of each packed row (_source, _bucket, _row, doc_id, size, taken), and the sources; see mix_sources."""
+    packed = _packed(docs, rows_per_bucket)
+    sources = _sources(packed, block_words, seed)
+    drawn = _slots(sources, out_shards).groupBy("_source", "_block").agg(F.count("*").alias("_times"))
+    taken = _parts(packed, block_words).join(drawn, ["_source", "_block"], "left")
+    taken = taken.groupBy("_source", "_bucket", "_row", "doc_id", "size").agg(
+        F.coalesce(F.sum(F.col("_words") * F.col("_times")), F.lit(0)).cast("long").alias("taken")
+    )
+    return taken, sources
+
+
 def mix_sources(
     docs: DataFrame, block_words: int = 128, out_shards: int = 64, seed: int = 17, rows_per_bucket: int = 500
 ) -> DataFrame:
@@ -128,13 +142,7 @@ def mix_sources(
     documents without words have taken 0; an empty table gives no rows. Other columns of the input are left out.
     Returns doc_id, size, source_size, target, taken.
     """
-    packed = _packed(docs, rows_per_bucket)
-    sources = _sources(packed, block_words, seed)
-    drawn = _slots(sources, out_shards).groupBy("_source", "_block").agg(F.count("*").alias("_times"))
-    taken = _parts(packed, block_words).join(drawn, ["_source", "_block"], "left")
-    taken = taken.groupBy("_source", "_bucket", "_row", "doc_id", "size").agg(
-        F.coalesce(F.sum(F.col("_words") * F.col("_times")), F.lit(0)).cast("long").alias("taken")
-    )
+    taken, sources = _taken(docs, block_words, out_shards, seed, rows_per_bucket)
     return taken.join(sources.select("_source", "source_size", "target"), "_source").select(
         "doc_id", "size", "source_size", "target", "taken"
     )
@@ -158,14 +166,51 @@ def mix_slots(
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs, with all their columns, as often as the mix takes them, to the nearest whole copy (0 to REPEATS).
+def whole_copies(taken: DataFrame, seed: int, rows_per_group: int = 4096) -> DataFrame:
+    """Rows (_source, _bucket, _row, size, taken) with words gain _copies: whole copies whose words come to those taken.
+
+    A row has taken div size copies, and one more where the running sum of what is left over passes a whole number. Sums
+    run by size, from a pseudorandom start, in fixed point: each row has its share as the expected number of copies, and
+    since the sums are off by less than one copy, a group's words are off by less than its largest document. Groups hold
+    about rows_per_group rows of one source, so a hot source has many and the others one each.
+    """
+    one = 1 << 32
+    counts = taken.groupBy("_source").agg(F.ceil(F.count("*") / rows_per_group).cast("long").alias("_groups"))
+    grouped = taken.where("size > 0").join(counts, "_source")
+    grouped = grouped.withColumn("_group", F.pmod(F.xxhash64("_bucket", "_row", F.lit(seed)), F.col("_groups")))
+    grouped = grouped.withColumn("_left", F.expr(f"(taken % size) * {one}L div size"))
+    begin = F.pmod(F.xxhash64("_source", "_group", F.lit(seed)), F.lit(one))
+    upto = Window.partitionBy("_source", "_group").orderBy("size", "_bucket", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = grouped.withColumn("_reached", begin + F.sum("_left").over(upto))
+    more = F.expr(f"_reached div {one}L - (_reached - _left) div {one}L")
+    return grouped.withColumn("_copies", F.expr("taken div size") + more).drop("_groups", "_group", "_left", "_reached")
+
+
+def mixed_documents(
+    docs: DataFrame, block_words: int = 128, out_shards: int = 64, seed: int = 17, rows_per_bucket: int = 500
+) -> DataFrame:
+    """Rows of docs, with all their columns, in whole copies (0 to REPEATS) whose words by source are those the mix takes.
 
-    Documents of which the mix takes less than half go; so do documents without words, of which it takes nothing.
+    Copies are drawn by row (see whole_copies). Rows that agree in source, doc_id and size share theirs evenly: texts meet
+    copies by that key, in one shuffle. Documents without words, of which the mix takes nothing, go.
     """
-    taken = mix_sources(docs, **options).groupBy("doc_id").agg(
-        F.round(F.expr("try_divide(sum(taken), sum(size))")).cast("int").alias("_copies")
+    key = ["_source", "_known", "_id", "size"]
+    copies = whole_copies(_taken(docs, block_words, out_shards, seed, rows_per_bucket)[0], seed)
+
+    def known(rows: DataFrame) -> DataFrame:
+        doc_id = F.col("doc_id").cast("long")
+        return rows.withColumn("_known", doc_id.isNotNull()).withColumn("_id", F.coalesce(doc_id, F.lit(0)))
+
+    copies = known(copies).groupBy(key).agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    name = F.col("source").cast("string")
+    texts = docs.select(
+        F.struct(*docs.columns).alias("_doc"),
+        F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("_source"),
+        F.col("doc_id"),
+        word_count(F.col("text")).alias("size"),
     )
-    same = docs["doc_id"].eqNullSafe(taken["doc_id"])
-    copies = docs.join(taken.where("_copies > 0"), same).select(*(docs[c] for c in docs.columns), "_copies")
-    return copies.select(*docs.columns, F.explode(F.expr("sequence(1, _copies)")).alias("_copy")).drop("_copy")
+    place = Window.partitionBy(key).orderBy(F.xxhash64("_doc.text"))
+    texts = known(texts).withColumn("_place", F.row_number().over(place))
+    times = F.expr("cast(_copies div _rows + if(_place <= _copies % _rows, 1, 0) as int)")
+    drawn = texts.join(copies, key).withColumn("_times", times).where("_times > 0")
+    return drawn.select("_doc", F.explode(F.expr("sequence(1, _times)"))).select("_doc.*")

@@ -312,6 +312,36 @@ def test_mix_slots_agree(docs):
     assert by_doc.exceptAll(counts).isEmpty() and counts.exceptAll(by_doc).isEmpty()
 
 
+def test_whole_documents_meet_targets(spark):
+    rng, made = random.Random(6), []
+    for i in range(900):
+        n = rng.choice((5, 40, 300, 1500))
+        made.append((i if i % 50 else None, " ".join(["w"] * n), f"s{i % 3}"))
+    made += [(10_000, "one row many times " * 40, "s1")] * 30
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    size, largest, words, long = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    for _, t, s in made:
+        size[s] += len(t.split())
+        largest[s] = max(largest[s], len(t.split()))
+    got = mixed.collect()
+    for r in got:
+        n = len(r.text.split())
+        words[r.source] += n
+        long[r.source] += n if n > 1000 else 0
+    sources = mixing.source_targets(spark.createDataFrame(sorted(size.items()), "source string, source_size long")).collect()
+    target = {r.source: r.target for r in sources}
+    assert min(target[s] / size[s] for s in size) < 0.5
+    assert all(abs(words[s] - target[s]) <= largest[s] + 128 * 4 for s in size)
+    all_long = {s: sum(len(t.split()) for _, t, x in made if x == s and len(t.split()) > 1000) for s in size}
+    assert all(abs(long[s] / all_long[s] - target[s] / size[s]) < 0.15 for s in size)
+    times = collections.Counter(r.doc_id for r in got if r.doc_id not in (None, 10_000))
+    assert max(times.values()) <= mixing.REPEATS
+    again = mixing.mixed_documents(docs.repartition(5)).collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, got))
+
+
 def test_line_crf(spark, docs, rows, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = line_crf.line_crf_quality(docs, labels).collect()
