@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import latent, line_crf, line_rules, mixing, partenum, pii, secrets, sharding, suffix_merge, token_scan
-from tessera.llm.common import components
+from tessera.llm.common import components, with_matches
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -193,6 +193,15 @@ def test_pii(docs, rows, empty):
     assert pii.scan_pii(empty).count() == 0
 
 
+def test_loose_numbers_in_running_text(spark):
+    texts = ["call 555-123-4567 now", "call 555-123-4567.", "(555-123-4567) or", "555-123-4567, 12", "no 12345 7", "a5551234567 x", "12345678901234567890123456789012345 x"]
+    want = [["555-123-4567"], ["555-123-4567"], ["(555-123-4567"], ["555-123-4567"], ["12345 7"], [], []]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = with_matches(data, "text", {"n": pii.LOOSE["loose_number"]}).orderBy("doc_id").collect()
+    assert [[m.value for m in r.n] for r in found] == want
+    assert all(t[m.start : m.end] == m.value for t, r in zip(texts, found) for m in r.n)
+
+
 def test_suffix_merge(docs, rows, empty):
     texts = [(i, (t or "").encode()) for i, t, _ in rows]
     counts = collections.Counter(t[p : p + 200] for _, t in texts for p in range(len(t) - 199))
