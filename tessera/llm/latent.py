@@ -1,7 +1,9 @@
-"""Benchmark decontamination: latent semantic retrieval of passages, then common-subsequence and answer checks."""
+"""Benchmark decontamination: retrieval by rare words, common-subsequence and answer checks, latent cosines."""
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,7 +104,12 @@ def passage_sketch(docs: DataFrame, probe: np.ndarray, passage: int) -> tuple[np
 
 
 def latent_space(docs: DataFrame, size: int, rank: int, passage: int, seed: int) -> np.ndarray:
-    """Feature vectors in the latent space of all passages: randomised SVD of their TF-IDF matrix.
+    """Feature vectors alone; see fitted_space."""
+    return fitted_space(docs, size, rank, passage, seed)[0]
+
+
+def fitted_space(docs: DataFrame, size: int, rank: int, passage: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of features (second), and feature vectors in the latent space of all passages: randomised SVD of their TF-IDF matrix.
 
     With counts A and IDF weights D the matrix is A D. One pass gives A' A Q for Gaussian Q, and so the sketch
     Z = (D A' A D) P of its Gram matrix for the probe P = D^-1 Q. The Gram matrix is about Z (P' Z)^-1 Z' (Nystrom), whose
@@ -118,23 +125,21 @@ def latent_space(docs: DataFrame, size: int, rank: int, passage: int, seed: int)
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > max(values.max(initial=0.0) * 1e-9, 1e-12)
     if not keep.any():
-        return np.zeros((size, rank))
+        return np.zeros((size, rank)), counts
     root = sketch @ (vectors[:, keep] / np.sqrt(values[keep]))
     u, s, _ = np.linalg.svd(root, full_matrices=False)
-    return u / np.maximum(s, s.max() * 1e-6) * weight[:, None]
+    return u / np.maximum(s, s.max() * 1e-6) * weight[:, None], counts
 
 
-def windows(ids: np.ndarray, space: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors, and their lengths, of the windows of width words that start at multiples of stride; width is a multiple of stride."""
-    n = len(ids)
-    starts = np.arange(0, max(1, n - width + stride), stride)
-    sums = np.add.reduceat(space[ids], np.arange(0, n, stride), axis=0)
-    steps = width // stride
-    total = sums[: len(starts)].copy()
-    for i in range(1, steps):
-        more = sums[i : i + len(starts)]
-        total[: len(more)] += more
-    return total, np.sqrt(np.maximum(np.einsum("ij,ij->i", total, total), 1e-24))
+def best_window(ids: np.ndarray, space: np.ndarray, width: int, vectors: np.ndarray) -> tuple[float, int]:
+    """The highest cosine of a window of width words with any of the unit vectors, and its start; every window counts."""
+    sums = np.r_[np.zeros((1, space.shape[1])), np.cumsum(space[ids], axis=0, dtype=np.float64)]
+    width = min(width, len(ids))
+    views = sums[width:] - sums[:-width]
+    norm = np.sqrt(np.maximum(np.einsum("ij,ij->i", views, views), 1e-24))
+    close = (views @ vectors.T).max(axis=1) / norm
+    start = int(close.argmax())
+    return float(close[start]), start
 
 
 def common_subsequence(item: dict[int, int], words: list[int]) -> int:
@@ -158,7 +163,6 @@ class Item:
     places: dict[int, int]
     answer: set[int]
     vectors: np.ndarray
-    features: np.ndarray
 
 
 def prepared(items: list[tuple[int, str]], space: np.ndarray, width: int, stride: int, least: int, answers: int) -> list[Item]:
@@ -182,9 +186,7 @@ def prepared(items: list[tuple[int, str]], space: np.ndarray, width: int, stride
             views.append(ids[-width:])
         sums = np.stack([space[v].sum(axis=0) for v in views])
         vectors = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
-        seen = np.zeros(len(space), bool)
-        seen[ids] = True
-        out.append(Item(item_id, len(words), places, set(rare), vectors.astype(np.float32), seen))
+        out.append(Item(item_id, len(words), places, set(rare), vectors.astype(np.float32)))
     return out
 
 
@@ -196,7 +198,6 @@ def find_leaks(
     passage: int = 128,
     width: int = 24,
     stride: int = 12,
-    cosine: float = 0.5,
     common: float = 0.6,
     answers: int = 8,
     answered: float = 0.5,
@@ -208,12 +209,15 @@ def find_leaks(
 
     1. Passages of all documents make a TF-IDF matrix over hashed words (size features); a distributed randomised SVD
        of it gives a latent space of rank dimensions. Counts and sketch cover every word of every document.
-    2. Every window of width words of every document (each stride words) is compared with every window of every item;
-       cosines from cosine on make a candidate. Items are a stated query set, in chunks of at most chunk items, which
-       is what a task holds of them; documents are never compared with each other, nor shuffled.
-    3. A candidate is a leak if the longest common subsequence of the item's words with the text about the window (as
-       many words more on each side as the item has) is at least common of the item, and that text has at least
-       answered of the item's answer: its answers words of the greatest weight.
+    2. A leak lacks at most a share of 1 - common of an item's words, so it has some of any larger choice of them. The
+       rarest are chosen, and all their places are looked up in every document; where a stretch of width words and twice
+       the item's length has as many as a leak must have, it is a candidate: none that step 3 accepts is missed. Items
+       are a stated query set, in chunks of at most chunk items, which is what a task holds of them; documents are never
+       compared with each other, nor shuffled.
+    3. It is a leak if some stretch of that length has both at least answered of the answer (the item's answers
+       words of the greatest weight in the latent space) and a longest common subsequence with the item's words of at least common of the item. Stretches from every word of the item are tried.
+    4. Of the best stretch, the highest cosine of its windows of width words (of the item's length, if that is less) with
+       the item's own windows (each stride words) is given, and that window's place. No leak is dropped for a low cosine.
 
     Items of under least words are not looked for. Null or empty texts hold nothing; repeated rows of documents give
     repeated results; repeated items are found each; an empty table on either side gives no rows; other columns, whatever
@@ -225,7 +229,7 @@ def find_leaks(
     names = ["item_id", "cosine", "common", "answered", "first_word"]
     kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
     out = docs.sparkSession.createDataFrame([], schema)
-    for leaks in _searches(docs, benchmark, size, rank, passage, width, stride, cosine, common, answers, answered, least, chunk, seed):
+    for leaks in _searches(docs, benchmark, size, rank, passage, width, stride, common, answers, answered, least, chunk, seed):
 
         def search(batches: Iterator[pa.RecordBatch], leaks=leaks) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
@@ -252,7 +256,6 @@ def drop_leaks(
     passage: int = 128,
     width: int = 24,
     stride: int = 12,
-    cosine: float = 0.5,
     common: float = 0.6,
     answers: int = 8,
     answered: float = 0.5,
@@ -262,7 +265,7 @@ def drop_leaks(
 ) -> DataFrame:
     """The rows of docs, with all their columns, in which find_leaks finds nothing; a filter without a shuffle."""
     place, left = docs.columns.index("text"), docs
-    for leaks in _searches(docs, benchmark, size, rank, passage, width, stride, cosine, common, answers, answered, least, chunk, seed):
+    for leaks in _searches(docs, benchmark, size, rank, passage, width, stride, common, answers, answered, least, chunk, seed):
 
         def clean(batches: Iterator[pa.RecordBatch], leaks=leaks) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
@@ -274,61 +277,117 @@ def drop_leaks(
     return left
 
 
-def _searches(docs, benchmark, size, rank, passage, width, stride, cosine, common, answers, answered, least, chunk, seed):
+def _searches(docs, benchmark, size, rank, passage, width, stride, common, answers, answered, least, chunk, seed):
     """For each chunk of items a function from a text's word hashes to rows (item_id, cosine, common, answered, first_word)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     count = items.count()
     if not count:
         return
-    space = latent_space(docs, size, rank, passage, seed).astype(np.float32)
+    space, seen = fitted_space(docs, size, rank, passage, seed)
+    space = space.astype(np.float32)
     chunks = -(-count // chunk)
     for number in range(chunks):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == number) if chunks > 1 else items
         wanted = prepared([(r["item_id"], r["text"]) for r in some.collect()], space, width, stride, least, answers)
         if wanted:
-            yield _searcher(wanted, space, width, stride, cosine, common, answered)
+            yield _searcher(wanted, space, seen, width, common, answered)
 
 
-def _searcher(wanted: list[Item], space: np.ndarray, width: int, stride: int, cosine: float, common: float, answered: float):
-    table = np.concatenate([i.vectors for i in wanted]).T.copy()
-    owner = np.repeat(np.arange(len(wanted)), [len(i.vectors) for i in wanted])
+def anchors(item: Item, seen: np.ndarray, common: float, spare: int = 4) -> tuple[list[int], int]:
+    """The item's words by which it is looked for, and how many of their places any leak has.
+
+    A leak may lack a share of 1 - common of the item's places, so of the rarest places (by the feature counts seen), spare
+    more than it may lack, it has spare at least.
+    """
+    missing = item.length - math.ceil(common * item.length - 1e-9)
+    chosen, held = [], 0
+    for w in sorted(item.places, key=lambda w: (seen[w % len(seen)], w)):
+        chosen.append(w)
+        held += item.places[w].bit_count()
+        if held >= missing + spare:
+            break
+    return chosen, max(1, held - missing)
+
+
+def _searcher(wanted: list[Item], space: np.ndarray, seen: np.ndarray, width: int, common: float, answered: float):
     length = np.array([i.length for i in wanted])
-    features = np.stack([i.features for i in wanted])
-
-    def candidates(ids: np.ndarray) -> Iterator[tuple]:
-        """Windows and items of high cosine where enough words about the window could be the item's."""
-        for first in range(0, len(ids), 6000):  # whole texts, a bounded matrix at a time
-            views, norm = windows(ids[first : first + 6000 + width], space, width, stride)
-            close = views @ table
-            places = np.flatnonzero(close >= (cosine * norm)[:, None])
-            if not len(places):
+    reach = width + 2 * length
+    keys, need = zip(*(anchors(i, seen, common) for i in wanted), strict=True)
+    need = np.array(need)
+    vocabulary = np.array(sorted(set().union(*keys)), np.uint64)
+    lists: list[list[int]] = [[] for _ in vocabulary]
+    where = {w: k for k, w in enumerate(vocabulary.tolist())}
+    for number, words in enumerate(keys):
+        for w in words:
+            lists[where[w]].append(number)
+    counts = np.array([len(x) for x in lists])
+    firsts, owners = np.cumsum(counts) - counts, np.concatenate([np.array(x) for x in lists])
+    shift = np.uint64(44)
+    maybe = np.zeros(1 << 20, bool)  # by a word's upper 20 bits, so that few words are searched for
+    maybe[(vocabulary >> shift).astype(np.int64)] = True
+
+    def regions(words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item, low and high: words of the text in which any leak of the item lies whole."""
+        at = np.flatnonzero(maybe[(words >> shift).astype(np.int64)])
+        if not len(at):
+            return
+        key = np.minimum(np.searchsorted(vocabulary, words[at]), len(vocabulary) - 1)
+        same = vocabulary[key] == words[at]
+        at, key = at[same], key[same]
+        n = counts[key]
+        number = owners[np.repeat(firsts[key] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        at = np.repeat(at, n)
+        order = np.argsort(number, kind="stable")
+        at, number = at[order], number[order]
+        last = np.arange(len(at)) + need[number] - 1
+        inside = np.minimum(last, len(at) - 1)
+        full = (last < len(at)) & (number[inside] == number) & (at[inside] - at < reach[number])
+        at, number = at[full], number[full]
+        if not len(at):
+            return
+        apart = np.r_[True, (number[1:] != number[:-1]) | (at[1:] - at[:-1] >= reach[number[1:]])]
+        begins = np.flatnonzero(apart)
+        ends = np.r_[begins[1:], len(at)] - 1
+        for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
+            item = int(number[b])
+            yield item, max(0, int(at[b] - reach[item]) + 1), min(len(words), int(at[e] + reach[item]))
+
+    def best_stretch(item: Item, words: list[int], size: int) -> tuple[float, float, int] | None:
+        """Greatest share of the item in a stretch of size words with enough of the answer, the answer's share, its start."""
+        spots = [i for i, w in enumerate(words) if w in item.places]
+        held = [words[i] for i in spots]
+        most = common_subsequence(item.places, held) / item.length
+        if most < common:
+            return None
+        found, end = None, 0
+        for k, start in enumerate(spots):
+            before, end = end, bisect.bisect_left(spots, start + size)
+            if end == before:
+                continue  # part of the stretch before
+            some = held[k:end]
+            told = len(item.answer.intersection(some)) / len(item.answer)
+            if told < answered or len(some) < common * item.length:
                 continue
-            at, column = np.divmod(places, close.shape[1])
-            value = close.ravel()[places] / norm[at]
-            start, number = at * stride + first, owner[column]
-            low = np.maximum(start - length[number], 0)
-            high = np.minimum(start + width + length[number], len(ids))
-            for c in range(0, len(start), 4096):
-                some = slice(c, c + 4096)
-                span = np.arange((high[some] - low[some]).max())
-                inside = span < (high[some] - low[some])[:, None]
-                spread = ids[np.minimum(low[some][:, None] + span, len(ids) - 1)]
-                could = np.count_nonzero(features[number[some][:, None], spread] & inside, axis=1)
-                enough = could >= common * length[number[some]]
-                yield from zip(*(x[some][enough].tolist() for x in (start, number, value, low, high)), strict=True)
+            share = common_subsequence(item.places, some) / item.length
+            if share >= common and (found is None or (share, told) > found[:2]):
+                found = (share, told, start)
+                if share >= most:
+                    break
+        return found
 
     def leaks(words: np.ndarray) -> list[tuple]:
         best: dict[int, tuple] = {}
-        if not len(words):
-            return []
-        for start, number, value, low, high in candidates((words % np.uint64(len(space))).astype(np.int64)):
-            item, about = wanted[number], words[low:high].tolist()
-            told = len(item.answer.intersection(about)) / len(item.answer)
-            if told < answered:
-                continue
-            share = common_subsequence(item.places, about) / item.length
-            if share >= common and (number not in best or (share, value) > best[number][:2]):
-                best[number] = (share, value, told, start)
-        return [(wanted[i].item_id, v, s, t, a) for i, (s, v, t, a) in sorted(best.items())]
+        for number, low, high in regions(words):
+            item = wanted[number]
+            found = best_stretch(item, words[low:high].tolist(), int(reach[number]))
+            if found and (number not in best or found[:2] > best[number][:2]):
+                best[number] = (found[0], found[1], low + found[2])
+        rows = []
+        for number, (share, told, start) in sorted(best.items()):
+            item = wanted[number]
+            ids = (words[start : start + reach[number]] % np.uint64(len(space))).astype(np.int64)
+            value, place = best_window(ids, space, min(width, item.length), item.vectors)
+            rows.append((item.item_id, value, share, told, start + place))
+        return rows
 
     return leaks

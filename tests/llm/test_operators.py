@@ -271,6 +271,44 @@ def test_leaks_paraphrased(spark, docs):
     assert len(got & {i for i, _ in made}) >= 18
 
 
+def test_leaks_agree_with_brute_force(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    plain = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if r.text]
+    vocabulary = sorted({w for t in plain for w in t.split()})
+    items, made = [], []
+    for r in benchmark:
+        words = r.text.split()
+        n = rng.choice((8, 9, 10, 12, 16, len(words)))
+        items.append((r.item_id, " ".join(words[:n])))
+        for _ in range(3):
+            changed = [rng.choice(vocabulary) if rng.random() < rng.choice((0, 0.2, 0.35)) else w for w in words[:n]]
+            about = rng.choice(plain).split()[:300]
+            at = rng.randrange(len(about) + 1)
+            made.append((len(made), " ".join(about[:at] + changed + about[at:])))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    given = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in latent.find_leaks(docs, given).collect()}
+    space = latent.latent_space(docs, 2048, 64, 128, 5).astype(np.float32)
+    want, hashes = set(), latent.WordHashes()
+    for item in latent.prepared(items, space, 24, 12, 8, 8):
+        size = 24 + 2 * item.length
+        for i, text in made:
+            words = hashes.of(text).tolist()
+            if latent.common_subsequence(item.places, words) < 0.6 * item.length:
+                continue
+            for start in range(max(1, len(words) - size + 1)):
+                some = words[start : start + size]
+                if len(item.answer.intersection(some)) < 0.5 * len(item.answer):
+                    continue
+                if latent.common_subsequence(item.places, some) >= 0.6 * item.length:
+                    want.add((i, item.item_id))
+                    break
+    assert len(want) > 80 and got == want
+
+
 def test_common_subsequence():
     rng = random.Random(4)
     for _ in range(50):
