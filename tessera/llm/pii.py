@@ -135,6 +135,13 @@ def calibrate(scored: DataFrame, precision: float, least: int, bins: int = 200)
     return limits
 
 
+def split_candidates(each: DataFrame, sample: int) -> tuple[DataFrame, DataFrame]:
+    """Learning rows, staged: the sample rows of least even hash. Rows held back: all others, but for repeats of the last one."""
+    learn = stage(each.where("hash % 2 = 0").orderBy("hash").limit(sample), "pii-learn")
+    top = learn.agg(F.max("hash")).first()[0]
+    return learn, each.where("hash % 2 <> 0" if top is None else f"hash % 2 <> 0 or hash > {top}L")
+
+
 def scan_pii(
     docs: DataFrame,
     sample: int = 4000,
@@ -149,7 +156,8 @@ def scan_pii(
     Base spans stay. Loose generators propose further spans that may overlap. Boosted trees are fitted on a bounded
     sample of all candidates (sample rows, those with the least hash), which are positive where they meet a base span:
     from format and context alone they learn what such spans look like. Thresholds by kind are the lowest that hold
-    precision on a second sample of the same size. Candidates over their threshold that meet no base span are added,
+    precision on all candidates outside that sample. The hash has doc_id and place in it, so that copies of one text are
+    sampled like others. Candidates over their threshold that meet no base span are added,
     as kinds loose_number, loose_email and loose_account. Every candidate is scored, by CASE expressions.
 
     Candidates are found in one pass and staged; later passes read those, not the texts. Null and empty texts have no
@@ -187,7 +195,7 @@ def scan_pii(
             "loose",
             lambda c: F.struct(
                 *(c[k].alias(k) for k in ("kind", "start", "end", "base")),
-                F.xxhash64(c["kind"], c["value"], c["before"], c["after"]).alias("hash"),
+                F.xxhash64("doc_id", c["kind"], c["start"], c["value"], c["before"], c["after"]).alias("hash"),
                 F.array(*(F.coalesce(x, F.lit(0.0)) for x in _features(c))).alias("x"),
             ),
         ),
@@ -195,9 +203,8 @@ def scan_pii(
     found = stage(found, "pii")
 
     each = found.select(F.explode("loose").alias("c")).select("c.kind", "c.x", F.col("c.base").cast("double").alias("y"), "c.hash")
-    learn = each.where("hash % 2 = 0").orderBy("hash").limit(sample)
-    judge = each.where("hash % 2 <> 0").orderBy("hash").limit(sample)
-    probability = fit_trees(stage(learn, "pii-learn"), rounds, depth, seed)
+    learn, judge = split_candidates(each, sample)
+    probability = fit_trees(learn, rounds, depth, seed)
     limits = calibrate(judge.select("kind", probability(F.col("x")).alias("score"), "y"), precision, least) if probability else {}
     added = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     if limits:

@@ -193,6 +193,31 @@ def test_pii(docs, rows, empty):
     assert pii.scan_pii(empty).count() == 0
 
 
+def test_thresholds_cover_all_candidates(spark):
+    each = spark.range(1000).selectExpr("id", "'k' as kind", "array(1D) as x", "1D as y", "xxhash64(id) as hash")
+    learn, judge = pii.split_candidates(each, 40)
+    learnt, judged = ({r.id for r in x.collect()} for x in (learn, judge))
+    assert len(learnt) == 40 and learnt.isdisjoint(judged) and len(learnt | judged) == 1000
+    assert pii.split_candidates(each.limit(0), 40)[1].count() == 0
+
+
+def test_rare_kind_keeps_its_threshold_and_copies_spread(spark, monkeypatch):
+    rng, made, judged = random.Random(9), [], []
+    for i in range(700):
+        # a rare kind, mail, among many numbers that are no personal data
+        numbers = " x ".join(f"{rng.randrange(100, 999)}/{rng.randrange(100, 999)}" for _ in range(6))
+        made.append((i, numbers + (f" mail joe{i}@site.com" if i % 8 == 0 else "")))
+    made += [(1000 + i, "the hot copy 555-123-4567 now") for i in range(300)]
+    calibrate = pii.calibrate
+    monkeypatch.setattr(pii, "calibrate", lambda scored, *a: judged.append(scored.count()) or calibrate(scored, *a))
+    learnt = []
+    fit = pii.fit_trees
+    monkeypatch.setattr(pii, "fit_trees", lambda rows, *a: learnt.append(rows.select("hash").distinct().count()) or fit(rows, *a))
+    pii.scan_pii(spark.createDataFrame(made, "doc_id long, text string"), sample=600).collect()
+    candidates = 700 * 6 + 300 + 88
+    assert judged == [candidates - 600] and learnt == [600]
+
+
 def test_loose_numbers_in_running_text(spark):
     texts = ["call 555-123-4567 now", "call 555-123-4567.", "(555-123-4567) or", "555-123-4567, 12", "no 12345 7", "a5551234567 x", "12345678901234567890123456789012345 x"]
     want = [["555-123-4567"], ["555-123-4567"], ["(555-123-4567"], ["555-123-4567"], ["12345 7"], [], []]
