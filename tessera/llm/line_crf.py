@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -160,10 +161,16 @@ def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1
     return LineCrf(theta[:width], theta[width:].reshape(2, 2))
 
 
+def run_of_lines(x: np.ndarray, doc_id: int, lines: int) -> np.ndarray:
+    """At most lines lines in a row, from a pseudorandom place anywhere in the document."""
+    start = zlib.crc32(f"lines {doc_id}".encode()) % max(1, len(x) - lines + 1)
+    return x[start : start + lines]
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, lines: int) -> list[tuple[np.ndarray, int]]:
     """Features of a bounded sample: the labelled documents outside the held-out fold with the least hash of doc_id.
 
-    At most sample documents, each with at most lines lines, reach the driver: numbers, not texts.
+    At most sample documents, each with at most lines lines from anywhere in it, reach the driver: numbers, not texts.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -173,13 +180,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, lines: int) -
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_features(t.as_py() or "")[0][:lines] for t in batch.column(0)]
+            rows = [run_of_lines(text_features(t.as_py() or "")[0], i.as_py(), lines) for t, i in zip(batch.column(0), batch.column(2), strict=True)]
             yield pa.record_batch(
                 [pa.array([r.ravel().tolist() for r in rows], pa.list_(pa.float32())), batch.column(1)], names=["x", "quality"]
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(features, "x array<float>, quality int")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id").mapInArrow(features, "x array<float>, quality int")
     found = [(np.array(r["x"], np.float32).reshape(-1, len(FEATURES)), r["quality"]) for r in rows.toLocalIterator()]
     return sorted(found, key=lambda r: (len(r[0]), r[1], r[0].tobytes()))  # the same order on every run
 

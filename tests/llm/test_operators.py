@@ -426,6 +426,15 @@ def test_line_crf(spark, docs, rows, empty):
     assert {r.score for r in line_crf.line_crf_quality(docs.where("text is null"), labels.limit(0)).collect()} == {0.0}
 
 
+def test_training_lines_come_from_whole_documents(spark):
+    text = "\n".join(["plain words stand here"] * 200 + ["| | # #"] * 200)
+    docs = spark.createDataFrame([(i, text) for i in range(60)], "doc_id long, text string")
+    got = line_crf.training_rows(docs, docs.selectExpr("doc_id", "1 as quality"), 60, 128)
+    symbols = line_crf.FEATURES.index("symbols")
+    seen = [float((x[:, symbols] > 0).mean()) for x, _ in got]
+    assert {len(x) for x, _ in got} == {128} and 0.25 < sum(seen) / len(seen) < 0.75
+
+
 def test_marginals_agree_with_enumeration():
     import numpy as np
 
