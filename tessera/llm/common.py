@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local session gets a fresh local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,7 +27,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write rows to the shared folder and read them back: cuts lineage, survives lost executors, computes once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    rows.staged_at = path
+    return rows
+
+
+def unstage(*rows: DataFrame) -> None:
+    """Remove staged rows that nothing reads any more; rows that were not staged are left alone."""
+    for df in rows:
+        path = getattr(df, "staged_at", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def word_count(text: Column) -> Column:
@@ -68,10 +82,11 @@ def _places(found: Column, gaps: Column) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(blocks, first, shift, lambda acc: F.flatten(acc["out"]))).otherwise(none)
 
 
-def with_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+def with_matches(df: DataFrame, text: str, patterns: dict[str, str], context: dict[str, int] | None = None) -> DataFrame:
     """Add a column for each pattern: its leftmost non-overlapping matches in code points, end exclusive.
 
-    array<struct<start, end, value>>, empty for null text. Spark gives matches without places; splitting by the same
+    array<struct<start, end, value>>, empty for null text. For the patterns in context, columns around_<name> are added too:
+    array<struct<before, after>>, so many code points on both sides of each match, up to the next match of the pattern. Spark gives matches without places; splitting by the same
     pattern gives what lies between, so places are running sums of both lengths, in blocks of 128 and then over blocks.
     Each step is a projection of its own, so that no regular expression runs twice; texts without a match are not split.
     """
@@ -80,7 +95,17 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFram
     df = df.select(*keep, *(c.alias(f"_found_{k}") for k, c in found.items()))
     gaps = {k: F.when(F.size(f"_found_{k}") > 0, F.split(F.col(text), p, -1)) for k, p in patterns.items()}
     df = df.select(*df.columns, *(c.alias(f"_gaps_{k}") for k, c in gaps.items()))
-    return df.select(*keep, *(_places(F.col(f"_found_{k}"), F.col(f"_gaps_{k}")).alias(k) for k in patterns))
+
+    def around(gaps: Column, n: int) -> Column:
+        ends = F.transform(gaps, lambda g: F.struct(F.right(g, F.lit(n)).alias("before"), F.left(g, F.lit(n)).alias("after")))
+        sides = F.zip_with(ends, F.slice(ends, 2, F.greatest(F.size(ends) - 1, F.lit(0))), lambda a, b: F.struct(a["before"].alias("before"), b["after"].alias("after")))
+        return F.when(F.size(ends) > 1, F.slice(sides, 1, F.size(ends) - 1)).otherwise(F.array().cast("array<struct<before:string,after:string>>"))
+
+    return df.select(
+        *keep,
+        *(_places(F.col(f"_found_{k}"), F.col(f"_gaps_{k}")).alias(k) for k in patterns),
+        *(around(F.col(f"_gaps_{k}"), n).alias(f"around_{k}") for k, n in (context or {}).items()),
+    )
 
 
 def tagged(spans: Column, rank: int, kind: str) -> Column:
@@ -121,7 +146,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(lows.select("u", F.col("m").alias("v"))).where("u <> v")
-        cur = stage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        last, cur = cur, stage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        unstage(last)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

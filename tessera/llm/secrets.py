@@ -19,124 +19,130 @@ BASE = {
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Encodings from narrow to wide: pattern, alphabet in order of symbol values, and chance that two symbols of written
-#: text, identifiers or paths in this alphabet are equal (fixed values of the null model).
+#: Letters by how common they are in written text: common, middling, rare (fixed values, for the languages of the corpus).
+_COMMON = ("aeinorst", "cdfghlmpu", "bjkqvwxyz")
+_CAPITALS = tuple(x.upper() for x in _COMMON)
+#: Encodings from narrow to wide: name, pattern, alphabet in order of symbol values, cells whose counts chi-squared compares.
+#: The cells cut the alphabet where written text is least even, so that few symbols suffice (fixed values).
 ENCODINGS = (
-    ("hex", "^[0-9a-f]+$", _DIGITS + "abcdef", 0.13),
-    ("hex_upper", "^[0-9A-F]+$", _DIGITS + "ABCDEF", 0.13),
-    ("base32", "^[A-Z2-7]+=*$", _UPPER + "234567", 0.07),
-    ("base36", "^[0-9a-z]+$", _DIGITS + _LOWER, 0.065),
-    ("base62", "^[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER, 0.06),
-    ("base64", "^[0-9A-Za-z+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/", 0.055),
-    ("base64url", "^[0-9A-Za-z_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_", 0.055),
+    ("hex", "^[0-9a-f]+$", _DIGITS + "abcdef", ("01234", "56789", "abc", "def")),
+    ("hex_upper", "^[0-9A-F]+$", _DIGITS + "ABCDEF", ("01234", "56789", "ABC", "DEF")),
+    ("base32", "^[A-Z2-7]+$", _UPPER + "234567", (*_CAPITALS, "234567")),
+    ("base36", "^[0-9a-z]+$", _DIGITS + _LOWER, (_DIGITS, *_COMMON)),
+    ("base62", "^[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER, (_DIGITS, *_CAPITALS, *_COMMON)),
+    ("base64", "^[0-9A-Za-z+/]+$", _UPPER + _LOWER + _DIGITS + "+/", (*_CAPITALS, *_COMMON, _DIGITS + "+/")),
+    ("base64url", "^[0-9A-Za-z_-]+$", _UPPER + _LOWER + _DIGITS + "-_", (*_CAPITALS, *_COMMON, _DIGITS + "-_")),
 )
+#: Kinds of symbols between which runs are counted.
+_KINDS = (_DIGITS, _UPPER, _LOWER, "+/-_")
+#: Log of the combined statistic in identifiers, paths and compounds of n symbols: normal about level + slope * ln(n / 20)
+#: with this spread (fixed values, of a reference of 60,000 made of dictionary words in nine forms).
+ORDINARY = {"level": 3.35, "slope": 0.85, "spread": 0.3}
 #: Upper ends of the length bands in which false discoveries are controlled apart; the last band is open.
 BANDS = (24, 32, 48, 80)
 BIN = 0.05
 
 
 def normal_tail(z: Column) -> Column:
-    """log10 of the lower tail of the standard normal at z, after Abramowitz and Stegun 26.2.17 (fixed coefficients)."""
+    """Chance that a standard normal is z or more, after Abramowitz and Stegun 26.2.17 (fixed coefficients)."""
     x = F.least(F.abs(z), F.lit(30.0))
     t = 1 / (1 + 0.2316419 * x)
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) / 2.5066282746310002 * poly
-    return F.log10(F.greatest(F.when(z < 0, tail).otherwise(1 - tail), F.lit(1e-200)))
+    tail = F.greatest(F.exp(-x * x / 2) / 2.5066282746310002 * poly, F.lit(1e-200))
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def _of_encoding(code: Column, values: list) -> Column:
+    """The entry of a literal list that belongs to an encoding's place in ENCODINGS, from 1."""
+    return F.element_at(F.array(*(F.array(*map(F.lit, v)) if isinstance(v, tuple) else F.lit(v) for v in values)), code)
 
 
 def _battery(tokens: Column) -> Column:
-    """Statistics of tokens array<struct<start, end, value>>: struct<start, end, encoding, n, log_p, uniform, runs, serial>.
+    """Tests of tokens array<struct<start, end, value>>: struct<start, end, encoding, n, fisher, random, log_p>.
 
-    uniform, runs and serial are z values under a uniform random string of the encoding: chi-squared of symbol counts,
-    Wald-Wolfowitz runs about the middle of the alphabet, lag-1 serial correlation. log_p is log10 of the chance that
-    ordinary text of the same length and alphabet looks as uniform: short tokens cannot get far below 1.
+    Three tests against a uniform random string of the token's encoding and length: chi-squared of the counts by cell of
+    the alphabet (one-sided, cube-root normal), runs of digits, capitals, small letters and marks (exact mean and variance
+    at that length), and lag-1 serial correlation of symbol values. fisher is -2 times the sum of the logs of their p
+    values, random its chance for a random string (chi-squared with 6 degrees). log_p is log10 of the chance that ordinary
+    text of that length has so small a fisher: short tokens cannot get as far below 0 as long ones.
     Steps are transforms of their own, so that each intermediate array is made once.
     """
-
-    def pick(value: Column, what: int) -> Column:
-        out = F.lit(None).cast("double" if what == 3 else "string")
-        for one in reversed(ENCODINGS):
-            out = F.when(value.rlike(one[1]), F.lit(one[what])).otherwise(out)
+    shares = [[len(set(k) & set(e[2])) / len(e[2]) for k in _KINDS] for e in ENCODINGS]
+    squares, cubes = ([sum(q**i for q in s) for s in shares] for i in (2, 3))
+    named = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.rtrim(t["value"], F.lit("=")).alias("value")))
+
+    def code(value: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for i, (_, pattern, *_) in reversed(list(enumerate(ENCODINGS, 1))):
+            out = F.when(value.rlike(pattern), F.lit(i)).otherwise(out)
         return out
 
     coded = F.transform(
-        tokens,
-        lambda t: F.struct(
-            t["start"].alias("start"),
-            t["end"].alias("end"),
-            F.rtrim(t["value"], F.lit("=")).alias("value"),
-            pick(t["value"], 0).alias("encoding"),
-            pick(t["value"], 2).alias("alphabet"),
-            pick(t["value"], 3).alias("kappa"),
-        ),
-    )
-    digits = F.filter(coded, lambda t: t["encoding"].isNotNull() & ~t["value"].rlike("^[0-9]*$"))
-    valued = F.transform(
-        digits,
-        lambda t: F.struct(
-            *(t[c].alias(c) for c in ("start", "end", "encoding", "kappa")),
-            F.length(t["alphabet"]).alias("k"),
-            F.length(t["value"]).alias("n"),
-            F.transform(F.split(t["value"], ""), lambda c: F.instr(t["alphabet"], c) - 1).alias("x"),
-            F.transform(
-                F.split(t["alphabet"], ""),
-                lambda c: (F.length(t["value"]) - F.length(F.replace(t["value"], c, F.lit("")))).cast("double"),
-            ).alias("counts"),
-        ),
+        F.filter(named, lambda t: ~t["value"].rlike("^[0-9]*$")),
+        lambda t: F.struct(*(t[c].alias(c) for c in ("start", "end", "value")), F.length(t["value"]).cast("double").alias("n"), code(t["value"]).alias("code")),
     )
+    kinds = "".join(str(i) * len(k) for i, k in enumerate(_KINDS))
 
-    def total(a: Column, f) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
-
-    summed = F.transform(
-        valued,
-        lambda t: F.struct(
-            *(t[c].alias(c) for c in ("start", "end", "encoding", "kappa", "k", "n", "x")),
-            total(t["counts"], lambda c: c * c).alias("squares"),
-            (total(t["x"], lambda v: v.cast("double")) / t["n"]).alias("mean"),
-            total(t["x"], lambda v: F.when(v * 2 >= t["k"], 1.0).otherwise(0.0)).alias("high"),
-        ),
-    )
-    moments = F.transform(
-        summed,
-        lambda t: F.struct(
-            *(t[c].alias(c) for c in ("start", "end", "encoding", "kappa", "k", "n", "squares", "high")),
-            total(t["x"], lambda v: (v - t["mean"]) * (v - t["mean"])).alias("spread"),
-            F.aggregate(
-                t["x"],
-                F.struct(F.lit(None).cast("int").alias("last"), F.lit(0.0).alias("products"), F.lit(1.0).alias("runs")),
-                lambda acc, v: F.struct(
-                    v.alias("last"),
-                    (acc["products"] + F.coalesce((acc["last"] - t["mean"]) * (v - t["mean"]), F.lit(0.0))).alias("products"),
-                    (acc["runs"] + F.when((acc["last"] * 2 >= t["k"]) != (v * 2 >= t["k"]), 1.0).otherwise(0.0)).alias("runs"),
-                ),
-            ).alias("pass"),
-        ),
+    def counted(t: Column) -> Column:
+        value, alphabet = t["value"], _of_encoding(t["code"], [e[2] for e in ENCODINGS])
+        size = F.length(alphabet).cast("double")
+        cells = _of_encoding(t["code"], [e[3] for e in ENCODINGS])
+
+        def part(acc: Column, cell: Column) -> Column:
+            expected = t["n"] * F.length(cell) / size
+            off = F.length(value) - F.length(F.call_function("translate", value, cell, F.lit(""))) - expected
+            return acc + off * off / expected
+
+        return F.struct(
+            *(t[c].alias(c) for c in ("start", "end", "n", "code")),
+            F.aggregate(cells, F.lit(0.0), part).alias("chi"),
+            (F.size(cells) - 1).cast("double").alias("free"),
+            (F.length(F.regexp_replace(F.translate(value, "".join(_KINDS), kinds), r"(.)\1*+", "x")) - 1).cast("double").alias("changes"),
+            F.transform(F.split(value, ""), lambda c: F.instr(alphabet, c).cast("double")).alias("x"),
+        )
+
+    counts = F.transform(F.filter(coded, lambda t: t["code"].isNotNull()), counted)
+    keep = ("start", "end", "n", "code", "chi", "free", "changes")
+    centred = F.transform(
+        counts,
+        lambda t: F.struct(*(t[c].alias(c) for c in (*keep, "x")), (F.aggregate(t["x"], F.lit(0.0), lambda a, v: a + v) / t["n"]).alias("mean")),
     )
 
-    def tests(t: Column) -> Column:
-        n, k, kappa = t["n"].cast("double"), t["k"].cast("double"), t["kappa"]
-        chi = k / n * t["squares"] - n
-        uniform = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        high = t["high"]
-        mean_runs = 2 * high * (n - high) / n + 1
-        spread_runs = F.sqrt(F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(1e-9)))
-        serial = F.when(t["spread"] > 0, (t["pass"]["products"] / t["spread"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
-        pairs = (t["squares"] - n) / 2
-        triple = 1.25 * kappa * kappa
-        spread = n * (n - 1) / 2 * kappa * (1 - kappa) + n * (n - 1) * (n - 2) * (triple - kappa * kappa)
+    def moments(t: Column) -> Column:
+        start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("products"), F.lit(0.0).alias("squares"))
+
+        def step(acc: Column, v: Column) -> Column:
+            d = v - t["mean"]
+            return F.struct(
+                d.alias("last"), (acc["products"] + F.coalesce(acc["last"] * d, F.lit(0.0))).alias("products"), (acc["squares"] + d * d).alias("squares")
+            )
+
+        return F.struct(*(t[c].alias(c) for c in keep), F.aggregate(t["x"], start, step).alias("m"))
+
+    def tested(t: Column) -> Column:
+        n, free = t["n"], t["free"]
+        s2, s3 = (_of_encoding(t["code"], x) for x in (squares, cubes))
+        z_chi = (F.pow(t["chi"] / free, 1 / 3) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+        spread = (n - 1) * (s2 - s2 * s2) + 2 * (n - 2) * (s3 - s2 * s2)
+        z_runs = (t["changes"] - (n - 1) * (1 - s2)) / F.sqrt(spread)
+        z_serial = F.when(t["m"]["squares"] > 0, (t["m"]["products"] / t["m"]["squares"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(30.0))
+        logs = F.log(normal_tail(z_chi)) + F.log(2 * normal_tail(F.abs(z_runs))) + F.log(2 * normal_tail(F.abs(z_serial)))
+        return F.struct(*(t[c].alias(c) for c in ("start", "end", "n", "code")), F.greatest(-2 * logs, F.lit(0.01)).alias("fisher"))
+
+    def judged(t: Column) -> Column:
+        half = t["fisher"] / 2
+        ordinary = ORDINARY["level"] + ORDINARY["slope"] * F.log(t["n"] / 20)
         return F.struct(
             t["start"].alias("start"),
             t["end"].alias("end"),
-            t["encoding"].alias("encoding"),
-            t["n"].alias("n"),
-            normal_tail((pairs - n * (n - 1) / 2 * kappa) / F.sqrt(spread)).alias("log_p"),
-            uniform.alias("uniform"),
-            ((t["pass"]["runs"] - mean_runs) / spread_runs).alias("runs"),
-            serial.alias("serial"),
+            _of_encoding(t["code"], [e[0] for e in ENCODINGS]).alias("encoding"),
+            t["n"].cast("int").alias("n"),
+            t["fisher"].alias("fisher"),
+            (F.exp(-half) * (1 + half + half * half / 2)).alias("random"),
+            F.log10(normal_tail((ordinary - F.log(t["fisher"])) / ORDINARY["spread"])).alias("log_p"),
         )
 
-    return F.transform(moments, tests)
+    return F.transform(F.transform(F.transform(centred, moments), tested), judged)
 
 
 def _band(n: Column) -> Column:
@@ -146,17 +152,15 @@ def _band(n: Column) -> Column:
     return out
 
 
-def _passes(t: Column, limit: float) -> Column:
-    return (t["uniform"] < limit) & (F.abs(t["runs"]) < limit) & (F.abs(t["serial"]) < limit)
-
-
-def scan_secrets(docs: DataFrame, discovery_rate: float = 0.01, battery_limit: float = 3.3) -> DataFrame:
+def scan_secrets(docs: DataFrame, discovery_rate: float = 0.05, battery_level: float = 0.001) -> DataFrame:
     """Secrets in every whole text: one row for each row of the input.
 
-    Spans of the base forms stay. Of the other tokens of 20 or more symbols, those count as secrets (kind random) that
-    no test of the battery tells from random, and whose uniformity ordinary text of that length would not show, with
-    false discoveries among all tokens of a length band held at discovery_rate (Benjamini-Hochberg over the corpus).
-    The steps' p values are counted in bins of 0.05 of their log10: at most 5 bands x 4000 bins, whatever the corpus.
+    Spans of the base forms stay. Every other token of 20 or more symbols goes through the battery of its inferred
+    encoding, whose three p values are combined after Fisher. Those that the battery does not tell from random at
+    battery_level, and whose combined statistic ordinary text of that length would not reach, are added as kind random:
+    Benjamini-Hochberg over all tokens of a length band in the corpus holds the expected share of ordinary tokens among
+    those added at discovery_rate. Tokens that are digits alone, or that mix marks of several encodings, are not tested.
+    The p values are counted in bins of 0.05 of their log10: at most 5 bands x 4000 bins, whatever the corpus.
     Tokens inside a base span are not tested.
 
     Spans are found in one pass and staged; the second pass reads those, not the texts. Null and empty texts have no
@@ -172,7 +176,7 @@ def scan_secrets(docs: DataFrame, discovery_rate: float = 0.01, battery_limit: f
     found = found.withColumn("token", free).withColumn("token", _battery(F.col("token")))
     found = stage(found, "secrets")
 
-    tested = found.select(F.explode("token").alias("t")).where(_passes(F.col("t"), 1e9))
+    tested = found.select(F.explode("token").alias("t"))
     bins = tested.groupBy(_band(F.col("t.n")).alias("band"), F.floor(F.col("t.log_p") / BIN).cast("int").alias("bin"))
     bins = bins.agg(F.count("*").alias("rows"))
     order = Window.partitionBy("band").orderBy("bin")
@@ -184,7 +188,7 @@ def scan_secrets(docs: DataFrame, discovery_rate: float = 0.01, battery_limit: f
 
     chosen = F.filter(
         "token",
-        lambda t: _passes(t, battery_limit) & F.coalesce(F.floor(t["log_p"] / BIN) <= F.element_at("_limits", _band(t["n"])), F.lit(False)),
+        lambda t: (t["random"] >= battery_level) & F.coalesce(F.floor(t["log_p"] / BIN) <= F.element_at("_limits", _band(t["n"])), F.lit(False)),
     )
     extra = tagged(F.col("_chosen"), len(BASE), "random")
     return (
