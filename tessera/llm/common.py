@@ -42,6 +42,15 @@ def unstage(*rows: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def one_by_one(rows: DataFrame, times: str, number: str, chunk: int = 4096) -> DataFrame:
+    """Each row as often as its column times says, with a number from 0; rows of more than chunk copies are dealt out in chunks."""
+    few = rows.where(F.col(times) <= chunk).withColumn(number, F.explode(F.expr(f"sequence(0L, {times} - 1)")))
+    many = rows.where(F.col(times) > chunk).withColumn("_chunk", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {chunk})")))
+    many = many.repartition(*many.columns)
+    each = F.explode(F.expr(f"sequence(_chunk * {chunk}, least({times}, (_chunk + 1) * {chunk}) - 1)"))
+    return few.unionByName(many.withColumn(number, each).drop("_chunk"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text without building them: each word becomes one letter, and the letters are counted."""
     marks = F.regexp_replace(text, WORD, "a")

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: retrieval by rare words, common-subsequence and answer checks, latent cosines."""
+"""Benchmark decontamination: cosine search in a latent space, probed through rare words, then subsequence and answer checks."""
 
 from __future__ import annotations
 
@@ -163,6 +163,7 @@ class Item:
     places: dict[int, int]
     answer: set[int]
     vectors: np.ndarray
+    exact: bool  # too short to be told apart from chance: found word for word only
 
 
 def prepared(items: list[tuple[int, str]], space: np.ndarray, width: int, stride: int, least: int, answers: int) -> list[Item]:
@@ -170,7 +171,7 @@ def prepared(items: list[tuple[int, str]], space: np.ndarray, width: int, stride
     heavy = np.linalg.norm(space, axis=1)
     for item_id, text in sorted(items, key=lambda i: (i[0] is None, i[0] or 0, i[1] or "")):
         words = hashes.of(text)
-        if len(words) < least:
+        if not len(words):
             continue
         ids = (words % np.uint64(len(space))).astype(np.int64)
         exact = words.tolist()
@@ -186,7 +187,7 @@ def prepared(items: list[tuple[int, str]], space: np.ndarray, width: int, stride
             views.append(ids[-width:])
         sums = np.stack([space[v].sum(axis=0) for v in views])
         vectors = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
-        out.append(Item(item_id, len(words), places, set(rare), vectors.astype(np.float32)))
+        out.append(Item(item_id, len(words), places, set(rare), vectors.astype(np.float32), len(words) < least))
     return out
 
 
@@ -198,6 +199,7 @@ def find_leaks(
     passage: int = 128,
     width: int = 24,
     stride: int = 12,
+    cosine: float = 0.25,
     common: float = 0.6,
     answers: int = 8,
     answered: float = 0.5,
@@ -209,19 +211,21 @@ def find_leaks(
 
     1. Passages of all documents make a TF-IDF matrix over hashed words (size features); a distributed randomised SVD
        of it gives a latent space of rank dimensions. Counts and sketch cover every word of every document.
-    2. A leak lacks at most a share of 1 - common of an item's words, so it has some of any larger choice of them. The
-       rarest are chosen, and all their places are looked up in every document; where a stretch of width words and twice
-       the item's length has as many as a leak must have, it is a candidate: none that step 3 accepts is missed. Items
-       are a stated query set, in chunks of at most chunk items, which is what a task holds of them; documents are never
-       compared with each other, nor shuffled.
-    3. It is a leak if some stretch of that length has both at least answered of the answer (the item's answers
-       words of the greatest weight in the latent space) and a longest common subsequence with the item's words of at least common of the item. Stretches from every word of the item are tried.
-    4. Of the best stretch, the highest cosine of its windows of width words (of the item's length, if that is less) with
-       the item's own windows (each stride words) is given, and that window's place. No leak is dropped for a low cosine.
-
-    Items of under least words are not looked for. Null or empty texts hold nothing; repeated rows of documents give
-    repeated results; repeated items are found each; an empty table on either side gives no rows; other columns, whatever
-    their names, are left out. A null doc_id is carried as null.
+    2. Candidates. The space is searched where an index of items leads: the rarest words of every item, more of them than a
+       leak may lack (a share of 1 - common of the item's places), so each stretch of a document that could hold a leak is
+       probed, and hardly any other. In a probed stretch every window of width words (of the item's length, if that is
+       less) is compared with the item's own windows (one each stride words); the stretch is a candidate from a cosine of
+       cosine on. Items are a stated query set, in chunks of at most chunk items, which is what a task holds of them;
+       documents are never compared with each other, nor shuffled. The work grows with the words that documents and items
+       share, not with documents times items.
+    3. A candidate is a leak if some stretch of width words and twice the item's length has both at least answered of the
+       answer (the item's answers words of the greatest weight in the latent space) and a longest common subsequence with
+       the item's words of at least common of the item. Stretches from every word of the item are tried.
+    4. Given are the cosine and place of the best window of the best stretch.
+
+    Items of under least words, and with words, are found word for word. Null or empty texts and items hold nothing; repeated
+    rows of documents give repeated results; repeated items are found each; an empty table on either side gives no rows;
+    other columns, whatever their names, are left out. A null doc_id is carried as null.
     Returns doc_id, item_id, cosine, common (share of the item), answered (share of its answer), first_word.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -229,7 +233,7 @@ def find_leaks(
     names = ["item_id", "cosine", "common", "answered", "first_word"]
     kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
     out = docs.sparkSession.createDataFrame([], schema)
-    for leaks in _searches(docs, benchmark, size, rank, passage, width, stride, common, answers, answered, least, chunk, seed):
+    for leaks in _searches(docs, benchmark, size, rank, passage, width, stride, cosine, common, answers, answered, least, chunk, seed):
 
         def search(batches: Iterator[pa.RecordBatch], leaks=leaks) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
@@ -256,6 +260,7 @@ def drop_leaks(
     passage: int = 128,
     width: int = 24,
     stride: int = 12,
+    cosine: float = 0.25,
     common: float = 0.6,
     answers: int = 8,
     answered: float = 0.5,
@@ -263,9 +268,13 @@ def drop_leaks(
     chunk: int = 5000,
     seed: int = 5,
 ) -> DataFrame:
-    """The rows of docs, with all their columns, in which find_leaks finds nothing; a filter without a shuffle."""
+    """The rows of docs, with all their columns, in which find_leaks finds nothing; a filter without a shuffle.
+
+    Null or empty texts hold nothing, so they stay, as all rows do where the benchmark is empty; repeated rows stay or go
+    together; doc_id is not looked at; an empty table gives no rows; columns may have any names.
+    """
     place, left = docs.columns.index("text"), docs
-    for leaks in _searches(docs, benchmark, size, rank, passage, width, stride, common, answers, answered, least, chunk, seed):
+    for leaks in _searches(docs, benchmark, size, rank, passage, width, stride, cosine, common, answers, answered, least, chunk, seed):
 
         def clean(batches: Iterator[pa.RecordBatch], leaks=leaks) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
@@ -277,7 +286,7 @@ def drop_leaks(
     return left
 
 
-def _searches(docs, benchmark, size, rank, passage, width, stride, common, answers, answered, least, chunk, seed):
+def _searches(docs, benchmark, size, rank, passage, width, stride, cosine, common, answers, answered, least, chunk, seed):
     """For each chunk of items a function from a text's word hashes to rows (item_id, cosine, common, answered, first_word)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     count = items.count()
@@ -290,7 +299,7 @@ def _searches(docs, benchmark, size, rank, passage, width, stride, common, answe
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == number) if chunks > 1 else items
         wanted = prepared([(r["item_id"], r["text"]) for r in some.collect()], space, width, stride, least, answers)
         if wanted:
-            yield _searcher(wanted, space, seen, width, common, answered)
+            yield _searcher(wanted, space, seen, width, cosine, common, answered)
 
 
 def anchors(item: Item, seen: np.ndarray, common: float, spare: int = 4) -> tuple[list[int], int]:
@@ -299,7 +308,7 @@ def anchors(item: Item, seen: np.ndarray, common: float, spare: int = 4) -> tupl
     A leak may lack a share of 1 - common of the item's places, so of the rarest places (by the feature counts seen), spare
     more than it may lack, it has spare at least.
     """
-    missing = item.length - math.ceil(common * item.length - 1e-9)
+    missing = 0 if item.exact else item.length - math.ceil(common * item.length - 1e-9)
     chosen, held = [], 0
     for w in sorted(item.places, key=lambda w: (seen[w % len(seen)], w)):
         chosen.append(w)
@@ -309,9 +318,9 @@ def anchors(item: Item, seen: np.ndarray, common: float, spare: int = 4) -> tupl
     return chosen, max(1, held - missing)
 
 
-def _searcher(wanted: list[Item], space: np.ndarray, seen: np.ndarray, width: int, common: float, answered: float):
+def _searcher(wanted: list[Item], space: np.ndarray, seen: np.ndarray, width: int, cosine: float, common: float, answered: float):
     length = np.array([i.length for i in wanted])
-    reach = width + 2 * length
+    reach = np.where([i.exact for i in wanted], length, width + 2 * length)
     keys, need = zip(*(anchors(i, seen, common) for i in wanted), strict=True)
     need = np.array(need)
     vocabulary = np.array(sorted(set().union(*keys)), np.uint64)
@@ -354,10 +363,11 @@ def _searcher(wanted: list[Item], space: np.ndarray, seen: np.ndarray, width: in
 
     def best_stretch(item: Item, words: list[int], size: int) -> tuple[float, float, int] | None:
         """Greatest share of the item in a stretch of size words with enough of the answer, the answer's share, its start."""
+        least = 1.0 if item.exact else common
         spots = [i for i, w in enumerate(words) if w in item.places]
         held = [words[i] for i in spots]
         most = common_subsequence(item.places, held) / item.length
-        if most < common:
+        if most < least:
             return None
         found, end = None, 0
         for k, start in enumerate(spots):
@@ -366,27 +376,31 @@ def _searcher(wanted: list[Item], space: np.ndarray, seen: np.ndarray, width: in
                 continue  # part of the stretch before
             some = held[k:end]
             told = len(item.answer.intersection(some)) / len(item.answer)
-            if told < answered or len(some) < common * item.length:
+            if told < answered or len(some) < least * item.length:
                 continue
             share = common_subsequence(item.places, some) / item.length
-            if share >= common and (found is None or (share, told) > found[:2]):
+            if share >= least and (found is None or (share, told) > found[:2]):
                 found = (share, told, start)
                 if share >= most:
                     break
         return found
 
+    def close(words: np.ndarray, item: Item) -> tuple[float, int]:
+        return best_window((words % np.uint64(len(space))).astype(np.int64), space, min(width, item.length), item.vectors)
+
     def leaks(words: np.ndarray) -> list[tuple]:
         best: dict[int, tuple] = {}
         for number, low, high in regions(words):
             item = wanted[number]
+            if close(words[low:high], item)[0] < cosine:
+                continue
             found = best_stretch(item, words[low:high].tolist(), int(reach[number]))
             if found and (number not in best or found[:2] > best[number][:2]):
                 best[number] = (found[0], found[1], low + found[2])
         rows = []
         for number, (share, told, start) in sorted(best.items()):
             item = wanted[number]
-            ids = (words[start : start + reach[number]] % np.uint64(len(space))).astype(np.int64)
-            value, place = best_window(ids, space, min(width, item.length), item.vectors)
+            value, place = close(words[start : start + reach[number]], item)
             rows.append((item.item_id, value, share, told, start + place))
         return rows
 

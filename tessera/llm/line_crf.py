@@ -170,7 +170,8 @@ def run_of_lines(x: np.ndarray, doc_id: int, lines: int) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, lines: int) -> list[tuple[np.ndarray, int]]:
     """Features of a bounded sample: the labelled documents outside the held-out fold with the least hash of doc_id.
 
-    At most sample documents, each with at most lines lines from anywhere in it, reach the driver: numbers, not texts.
+    At most sample documents, each with at most lines lines from anywhere in it, reach the driver: numbers, not texts. Of
+    rows that repeat a labelled doc_id one is used, the least by its features.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -182,11 +183,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, lines: int) -
         for batch in batches:
             rows = [run_of_lines(text_features(t.as_py() or "")[0], i.as_py(), lines) for t, i in zip(batch.column(0), batch.column(2), strict=True)]
             yield pa.record_batch(
-                [pa.array([r.ravel().tolist() for r in rows], pa.list_(pa.float32())), batch.column(1)], names=["x", "quality"]
+                [batch.column(2), pa.array([r.ravel().tolist() for r in rows], pa.list_(pa.float32())), batch.column(1)], names=["doc_id", "x", "quality"]
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id").mapInArrow(features, "x array<float>, quality int")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id").mapInArrow(features, "doc_id long, x array<float>, quality int")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("one")).select("one.*")  # however often a document is there
     found = [(np.array(r["x"], np.float32).reshape(-1, len(FEATURES)), r["quality"]) for r in rows.toLocalIterator()]
     return sorted(found, key=lambda r: (len(r[0]), r[1], r[0].tobytes()))  # the same order on every run
 
@@ -223,7 +225,12 @@ def line_crf_quality(docs: DataFrame, labels: DataFrame, sample: int = 1500, lin
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 1500, lines: int = 128, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores threshold or more; see line_crf_quality."""
+    """The rows of docs, with all their columns, whose text scores threshold or more; see line_crf_quality.
+
+    Null or empty texts score 0, so they go; without usable labels nothing reaches the threshold but texts of a field that
+    calls all lines good. Repeated rows stay or go together; doc_id may be null; an empty table gives no rows; columns may
+    have any names.
+    """
     model = fit(training_rows(docs, labels, sample, lines))
     place = docs.columns.index("text")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import word_count
+from tessera.llm.common import one_by_one, stage, word_count
 
 #: Weights by place of the source in order of code points, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
@@ -44,7 +44,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
 
 
 def _packed(docs: DataFrame, rows_per_bucket: int) -> DataFrame:
-    """Documents with the place _start of their first word in their source's sequence of words."""
+    """Documents with the place _start of their first word in their source's sequence of words.
+
+    Texts are read once; the narrow rows made of them are staged, rows that agree in source, doc_id and size as one with a
+    count, so that repeated rows fill no bucket: they stand one after the other.
+    """
     name = F.col("source").cast("string")
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -52,17 +56,20 @@ def _packed(docs: DataFrame, rows_per_bucket: int) -> DataFrame:
         F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("_source"),
         word_count(F.col("text")).alias("size"),
     )
+    sized = stage(sized.groupBy("doc_id", "source", "_source", "size").agg(F.count("*").alias("_times")), "sized")
     n = sized.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows_per_bucket)).cast("long").alias("_buckets"))
     sized = sized.join(F.broadcast(n)).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size"), F.col("_buckets")))
-    packs = sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"))
+    packs = sized.groupBy("_source", "_bucket").agg(F.sum(F.col("size") * F.col("_times")).alias("_words"))
     running = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     packs = packs.select("_source", "_bucket", F.coalesce(F.sum("_words").over(running), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_source", "_bucket").orderBy("doc_id", "size")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_row", F.row_number().over(inside))
-    placed = placed.withColumn("_sum", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    placed = sized.withColumn("_row", F.coalesce(F.sum("_times").over(earlier), F.lit(0)))
+    placed = placed.withColumn("_sum", F.coalesce(F.sum(F.col("size") * F.col("_times")).over(earlier), F.lit(0)))
     placed = placed.join(packs, ["_source", "_bucket"]).withColumn("_start", F.col("_sum") + F.col("_offset"))
-    return placed.drop("_buckets", "_sum", "_offset")
+    placed = one_by_one(placed.drop("_buckets", "_sum", "_offset"), "_times", "_copy")
+    placed = placed.withColumn("_row", F.col("_row") + F.col("_copy")).withColumn("_start", F.col("_start") + F.col("_copy") * F.col("size"))
+    return placed.drop("_times", "_copy")
 
 
 def _sources(packed: DataFrame, block_words: int, seed: int) -> DataFrame:
@@ -87,8 +94,12 @@ def _permuted(j: str, turn: str) -> Column:
 
 def _slots(sources: DataFrame, out_shards: int, chunk: int = 4096) -> DataFrame:
     """One row for each drawn block: _source, _block, _slot, out_shard. Chunks spread a large source's slots over tasks."""
-    chunks = sources.where("_slots > 0").select(
-        "_source", "_blocks", "_slots", "_key", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {chunk})")).alias("_chunk")
+    groups = sources.where("_slots > 0").select(
+        "_source", "_blocks", "_slots", "_key", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {chunk * chunk})")).alias("_group")
+    )
+    upto = f"least((_slots - 1) div {chunk}, (_group + 1) * {chunk} - 1)"  # no array is longer than chunk, whatever the source
+    chunks = groups.repartition("_source", "_group").select(
+        "_source", "_blocks", "_slots", "_key", F.explode(F.expr(f"sequence(_group * {chunk}, {upto})")).alias("_chunk")
     )
     each = F.expr(f"sequence(_chunk * {chunk}, least(_slots, (_chunk + 1) * {chunk}) - 1)")
     slots = chunks.repartition("_source", "_chunk").select("_source", "_blocks", "_key", F.explode(each).alias("_slot"))
@@ -112,13 +123,17 @@ def _parts(packed: DataFrame, block_words: int) -> DataFrame:
 def _taken(
     docs: DataFrame, block_words: int, out_shards: int, seed: int, rows_per_bucket: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Words taken of each packed row (_source, _bucket, _row, doc_id, size, taken), and the sources; see mix_sources."""
+    """Each packed row (_source, _bucket, _row, doc_id, size, taken, n_out_shards), and the sources; see mix_sources."""
     packed = _packed(docs, rows_per_bucket)
     sources = _sources(packed, block_words, seed)
-    drawn = _slots(sources, out_shards).groupBy("_source", "_block").agg(F.count("*").alias("_times"))
+    if not 0 < out_shards <= 64:
+        raise ValueError("out_shards must be 1 to 64, the bits of a long")
+    here = F.expr("shiftleft(1L, out_shard)")
+    drawn = _slots(sources, out_shards).groupBy("_source", "_block").agg(F.count("*").alias("_times"), F.bit_or(here).alias("_shards"))
     taken = _parts(packed, block_words).join(drawn, ["_source", "_block"], "left")
     taken = taken.groupBy("_source", "_bucket", "_row", "doc_id", "size").agg(
-        F.coalesce(F.sum(F.col("_words") * F.col("_times")), F.lit(0)).cast("long").alias("taken")
+        F.coalesce(F.sum(F.col("_words") * F.col("_times")), F.lit(0)).cast("long").alias("taken"),
+        F.coalesce(F.bit_count(F.bit_or("_shards")), F.lit(0)).cast("int").alias("n_out_shards"),
     )
     return taken, sources
 
@@ -140,11 +155,11 @@ def mix_sources(
 
     Null text has no words; null source is a source of its own, last in order; repeated rows are packed one by one;
     documents without words have taken 0; an empty table gives no rows. Other columns of the input are left out.
-    Returns doc_id, size, source_size, target, taken.
+    Returns doc_id, size, source_size, target, taken, n_out_shards (output shards that take words of it).
     """
     taken, sources = _taken(docs, block_words, out_shards, seed, rows_per_bucket)
     return taken.join(sources.select("_source", "source_size", "target"), "_source").select(
-        "doc_id", "size", "source_size", "target", "taken"
+        "doc_id", "size", "source_size", "target", "taken", "n_out_shards"
     )
 
 
@@ -187,12 +202,15 @@ def whole_copies(taken: DataFrame, seed: int, rows_per_group: int = 4096) -> Dat
 
 
 def mixed_documents(
-    docs: DataFrame, block_words: int = 128, out_shards: int = 64, seed: int = 17, rows_per_bucket: int = 500
+    docs: DataFrame, block_words: int = 128, out_shards: int = 64, seed: int = 17, rows_per_bucket: int = 500, hot: int = 4096
 ) -> DataFrame:
     """Rows of docs, with all their columns, in whole copies (0 to REPEATS) whose words by source are those the mix takes.
 
-    Copies are drawn by row (see whole_copies). Rows that agree in source, doc_id and size share theirs evenly: texts meet
-    copies by that key, in one shuffle. Documents without words, of which the mix takes nothing, go.
+    Copies are drawn by row (see whole_copies). Rows that agree in source, doc_id and size (repeated rows, null doc_ids)
+    share theirs evenly: texts meet copies by that key, in one shuffle. Keys of over hot rows and a thousandth of all (so
+    a thousand at most, which are broadcast) are dealt out over salts first. Null or empty texts have no words; of those,
+    and of documents without words, the mix takes nothing, so they go. A null source is a source of its own; an empty
+    table gives no rows; columns may have any names.
     """
     key = ["_source", "_known", "_id", "size"]
     copies = whole_copies(_taken(docs, block_words, out_shards, seed, rows_per_bucket)[0], seed)
@@ -202,6 +220,11 @@ def mixed_documents(
         return rows.withColumn("_known", doc_id.isNotNull()).withColumn("_id", F.coalesce(doc_id, F.lit(0)))
 
     copies = known(copies).groupBy(key).agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    copies = stage(copies, "copies")
+    total = copies.agg(F.sum("_rows")).first()[0] or 0
+    limit = max(hot, total // 1000)
+    copies = copies.withColumn("_salts", F.expr(f"(_rows + {limit - 1}) div {limit}"))
+    salts = F.broadcast(copies.where("_salts > 1").select(*key, F.col("_salts").alias("_split")))
     name = F.col("source").cast("string")
     texts = docs.select(
         F.struct(*docs.columns).alias("_doc"),
@@ -209,8 +232,11 @@ def mixed_documents(
         F.col("doc_id"),
         word_count(F.col("text")).alias("size"),
     )
-    place = Window.partitionBy(key).orderBy(F.xxhash64("_doc.text"))
-    texts = known(texts).withColumn("_place", F.row_number().over(place))
-    times = F.expr("cast(_copies div _rows + if(_place <= _copies % _rows, 1, 0) as int)")
-    drawn = texts.join(copies, key).withColumn("_times", times).where("_times > 0")
+    texts = known(texts).join(salts, key, "left").withColumn("_salt", F.floor(F.rand(seed) * F.coalesce("_split", F.lit(1))).cast("long"))
+    copies = copies.select(*key, "_copies", "_rows", F.explode(F.expr("sequence(0L, _salts - 1)")).alias("_salt"))
+    place = Window.partitionBy(*key, "_salt").orderBy(F.xxhash64("_doc.text"))
+    drawn = texts.withColumn("_place", F.row_number().over(place)).join(copies.hint("merge"), [*key, "_salt"])
+    # the copies over whole ones fall evenly on a key's rows, whichever of its salts they are in
+    more = "(_place * (_copies % _rows)) div _rows - ((_place - 1) * (_copies % _rows)) div _rows"
+    drawn = drawn.withColumn("_times", F.expr(f"cast(_copies div _rows + {more} as int)")).where("_times > 0")
     return drawn.select("_doc", F.explode(F.expr("sequence(1, _times)"))).select("_doc.*")

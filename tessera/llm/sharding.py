@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import one_by_one, stage, unstage
+
 BITS = 4
 DIMS = 3
 
@@ -68,7 +70,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, rows_per_bucket: int = 500
     Coordinates of 4 bits: a hash of the source, log2 of the size, and doc_id between its least and largest. The
     global rank of each row comes without a global sort: rows are counted by curve cell (at most 4096) and by hash
     bucket inside the cell, offsets are running sums of those counts, and only the rows of one bucket are numbered
-    together. Buckets hold about rows_per_bucket rows at any input size, so a hot source splits like any other.
+    together. Buckets hold about rows_per_bucket rows at any input size, so a hot source splits like any other; rows that
+    agree in all that is returned are one row with a count until the end, so that repeated rows fill no bucket. Texts are
+    read once; the narrow rows made of them are staged.
 
     Law: rows. Shards are equal in rows up to one; slots run from 0 without gaps. Null text counts as empty, null
     source or doc_id has a coordinate of its own or 0 and sorts first; repeated rows are dealt one by one. An empty
@@ -76,16 +80,19 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, rows_per_bucket: int = 500
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), curve.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.coalesce(F.col("source"), F.lit("\x00")).alias("_source"),
+    base = stage(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.octet_length(text) + 8).cast("long").alias("size"),
+            F.crc32(text).alias("text_crc32"),
+            F.conv(F.substring(F.md5(F.coalesce(F.col("source").cast("string"), F.lit("\x00"))), 1, 1), 16, 10).cast("int").alias("_source"),
+        ),
+        "narrow",
     )
-    ends = docs.agg(
+    ends = base.agg(
         F.count("*").alias("_n"),
-        F.coalesce(F.min(F.col("doc_id").cast("long")), F.lit(0)).alias("_lo"),
-        F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0)).alias("_hi"),
+        F.coalesce(F.min("doc_id"), F.lit(0)).alias("_lo"),
+        F.coalesce(F.max("doc_id"), F.lit(0)).alias("_hi"),
     )
     side = 1 << BITS
     spread = (F.col("doc_id").cast("double") - F.col("_lo")) * side / (F.col("_hi").cast("double") - F.col("_lo") + 1)
@@ -96,14 +103,16 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, rows_per_bucket: int = 500
         "_n",
         hilbert_index(
             [
-                F.conv(F.substring(F.md5("_source"), 1, 1), 16, 10).cast("int"),
+                F.col("_source"),
                 F.least(F.floor(F.log2("size")).cast("int"), F.lit(side - 1 + 3)) - 3,
                 F.coalesce(F.least(F.floor(spread).cast("int"), F.lit(side - 1)), F.lit(0)),
             ]
         ).alias("curve"),
     )
+    located = stage(located.groupBy("doc_id", "size", "text_crc32", "_n", "curve").agg(F.count("*").alias("_times")), "located")
+    unstage(base)
     # Cells get as many buckets as their share of rows needs, so the bucket of a row follows from its cell's count.
-    cells = located.groupBy("curve").agg(F.count("*").alias("_rows"))
+    cells = located.groupBy("curve").agg(F.sum("_times").alias("_rows"))
     order = Window.orderBy("curve")  # at most 4096 rows, one for each cell
     cells = cells.select(
         "curve",
@@ -113,11 +122,12 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, rows_per_bucket: int = 500
     dealt = located.join(F.broadcast(cells), "curve").withColumn(
         "_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("_buckets"))
     )
-    counts = dealt.groupBy("curve", "_bucket").agg(F.count("*").alias("_rows"))
+    counts = dealt.groupBy("curve", "_bucket").agg(F.sum("_times").alias("_rows"))
     within = Window.partitionBy("curve").orderBy("_bucket")
     starts = counts.select("curve", "_bucket", (F.sum("_rows").over(within) - F.col("_rows")).alias("_offset"))
     one = Window.partitionBy("curve", "_bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = dealt.withColumn("_at", F.row_number().over(one) - 1).join(starts, ["curve", "_bucket"])
+    ranked = dealt.withColumn("_at", F.sum("_times").over(one) - F.col("_times")).join(starts, ["curve", "_bucket"])
+    ranked = one_by_one(ranked, "_times", "_copy").withColumn("_at", F.col("_at") + F.col("_copy"))
     rank = F.col("_before") + F.col("_offset") + F.col("_at")
     # shard s covers the ranks r with floor(r * shards / n) = s; its first is ceil(s * n / shards)
     exact = F.expr(f"(_before + _offset + _at) * {shards} div _n")

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Where the public vocabularies are on this machine; a parameter everywhere.
+from tessera.llm.common import stage
+
+#: The folder of the public vocabularies on every executor, where spark.tessera.tokenizers does not name another.
 TOKENIZERS = "/opt/tokenizers"
 #: Ids of byte_bpe_50k.tiktoken end below this one, so it is free to end documents (fixed value).
 SEPARATOR = 50256
@@ -123,12 +125,16 @@ def stitch(scanned: DataFrame) -> DataFrame:
     return whole.unionAll(rest)
 
 
-def token_counts(docs: DataFrame, block_tokens: int = 1 << 16, tokenizers: str = TOKENIZERS) -> DataFrame:
+def token_counts(docs: DataFrame, block_tokens: int = 1 << 16, tokenizers: str | None = None) -> DataFrame:
     """Tokens of every document, counted by scanning flat files for separators.
 
-    Packing and scanning run in one stage; only one row for each block (places of its separators) is shuffled, by
-    file. A file is one input partition, so no file outgrows a task. Null and empty texts have 0 tokens; repeated
-    rows and null doc_ids are counted row by row; an empty table gives no rows; other columns are left out.
+    Texts are read and encoded once: packing and scanning run in one stage, and what it found (one row for each block,
+    with the places of its separators) is staged and stitched, shuffled by file. A file is one input partition, so no
+    file outgrows a task. tokenizers is the folder of the vocabularies on every executor: by default that of the
+    session's setting spark.tessera.tokenizers. Null and empty texts have 0 tokens; repeated rows and null doc_ids are
+    counted row by row; an empty table gives no rows; other columns are left out.
     Returns doc_id, n_tokens.
     """
-    return stitch(scan_blocks(pack_flat(docs, block_tokens, tokenizers))).select("doc_id", "n_tokens")
+    folder = tokenizers or docs.sparkSession.conf.get("spark.tessera.tokenizers", TOKENIZERS)
+    scanned = stage(scan_blocks(pack_flat(docs, block_tokens, folder)), "blocks")
+    return stitch(scanned).select("doc_id", "n_tokens")

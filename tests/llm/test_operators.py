@@ -342,7 +342,8 @@ def test_leaks_agree_with_brute_force(spark):
             made.append((len(made), " ".join(about[:at] + changed + about[at:])))
     docs = spark.createDataFrame(made, "doc_id long, text string")
     given = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in latent.find_leaks(docs, given).collect()}
+    found = latent.find_leaks(docs, given).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
     space = latent.latent_space(docs, 2048, 64, 128, 5).astype(np.float32)
     want, hashes = set(), latent.WordHashes()
     for item in latent.prepared(items, space, 24, 12, 8, 8):
@@ -358,7 +359,16 @@ def test_leaks_agree_with_brute_force(spark):
                 if latent.common_subsequence(item.places, some) >= 0.6 * item.length:
                     want.add((i, item.item_id))
                     break
-    assert len(want) > 80 and got == want
+    # the checks accept nothing else, and the cosine search loses little of what they accept
+    assert len(want) > 80 and got <= want and len(got) >= 0.97 * len(want)
+    assert all(r.cosine >= 0.25 or r.common < 1 for r in found)
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = spark.createDataFrame([(1, "the Quick, brown fox"), (2, "zebra"), (3, " \n"), (4, None)], "item_id long, text string")
+    texts = [(1, "see the quick brown fox run"), (2, "the quick red brown fox"), (3, "a zebra."), (4, "brown fox the quick"), (None, None)]
+    got = latent.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id, r.common) for r in got} == {(1, 1, 1.0), (3, 2, 1.0)}
 
 
 def test_common_subsequence():
@@ -405,6 +415,24 @@ def test_mix(docs, rows, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_repeated_rows_in_shards_and_mix(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s")] * 9000 + [(i, "d e", None) for i in range(100)], "doc_id long, text string, source string").repartition(5)
+    got = sharding.hilbert_shards(docs).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 9100 and all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    mixed = mixing.mix_sources(docs).collect()
+    assert len(mixed) == 9100 and all(r.taken <= 3 * r["size"] and (r.n_out_shards > 0) == (r.taken > 0) for r in mixed)
+    for source_size in {r.source_size for r in mixed}:
+        rows = [r for r in mixed if r.source_size == source_size]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(128, 0.05 * rows[0].target)
+    whole = mixing.mixed_documents(docs, hot=100).groupBy("source").count().collect()
+    words = {r.source: r["count"] * (3 if r.source else 2) for r in whole}
+    targets = {r.source_size: r.target for r in mixed}
+    assert abs(words["s"] - targets[27000]) <= 0.02 * targets[27000] + 300
+
+
 def test_mix_slots_agree(docs):
     by_doc = mixing.mix_slots(docs).groupBy("doc_id").agg(F.sum("words").alias("n"))
     counts = mixing.mix_sources(docs).groupBy("doc_id").agg(F.sum("taken").alias("n")).where("n > 0")
@@ -453,6 +481,12 @@ def test_line_crf(spark, docs, rows, empty):
     assert {r.score for r in line_crf.line_crf_quality(docs.where("text is null"), labels.limit(0)).collect()} == {0.0}
 
 
+def test_training_rows_are_bounded_by_document(spark):
+    docs = spark.createDataFrame([(1, "One good line. It has words.")] * 3000 + [(3, "| | #"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (None, 1), (4, 7)], "doc_id long, quality int")
+    assert len(line_crf.training_rows(docs, labels, 10, 8)) == 2
+
+
 def test_training_lines_come_from_whole_documents(spark):
     text = "\n".join(["plain words stand here"] * 200 + ["| | # #"] * 200)
     docs = spark.createDataFrame([(i, text) for i in range(60)], "doc_id long, text string")
