@@ -162,4 +162,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             break
         seen = now
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    found = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    found.staged_at = cur.staged_at
+    return found

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -18,16 +18,23 @@ SYMBOLS = "#*$%&|<>"
 ENDS = re.compile(r"""[.!?:;…。！？]["'”’»)\]]*$""")
 #: Separators of menus and bread crumbs (fixed values).
 SEPARATORS = {"|", "»", "«", ">", ">>", "/", "•", "·", "::", "→"}
-#: Words of menus (fixed values).
+#: Words of menus, in the languages of the corpus (fixed values).
 MENU = {
+    "startseite", "suche", "anmelden", "abmelden", "registrieren", "kontakt", "hilfe", "impressum", "weiter", "zurück", "drucken", "teilen",
+    "warenkorb", "konto", "menü", "accueil", "recherche", "connexion", "déconnexion", "inscription", "aide", "suivant", "précédent", "retour",
+    "partager", "imprimer", "panier", "compte", "inicio", "buscar", "entrar", "salir", "registro", "contacto", "ayuda", "siguiente", "anterior",
+    "volver", "compartir", "imprimir", "carrito", "cuenta", "menú",
     "home", "menu", "search", "login", "logout", "register", "about", "contact", "faq", "help", "sitemap", "next",
     "previous", "prev", "back", "top", "share", "print", "subscribe", "newsletter", "account", "cart", "skip", "navigation",
 }
-#: Phrases of notices that sites repeat (fixed values).
+#: Phrases of notices that sites repeat, in the languages of the corpus (fixed values).
 BOILERPLATE = re.compile(
     r"lorem ipsum|all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|(?:use|uses|accept) cookies"
     r"|enable javascript|javascript is (?:disabled|required)|click here|read more|sign (?:in|up) (?:to|for)"
-    r"|copyright (?:\(c\)|©|\d{4})|licensed under|without warranty",
+    r"|copyright (?:\(c\)|©|\d{4})|licensed under|without warranty"
+    r"|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|hier klicken|mehr lesen|tous droits réservés"
+    r"|conditions d['’]utilisation|politique de confidentialité|cliquez ici|lire la suite|todos los derechos reservados"
+    r"|términos de uso|política de privacidad|haga clic aquí|leer más",
     re.IGNORECASE,
 )
 
@@ -91,14 +98,22 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
             seen.add(key)
     ids: dict[bytes, int] = {}
     codes = [ids.setdefault(w, len(ids)) for w in words]
-    windows = list(zip(codes, codes[1:], codes[2:], strict=False))
-    counts = Counter(windows)
-    repeated, upto = 0, 0
-    for i, window in enumerate(windows):
-        if counts[window] > 1:
-            repeated += i + 3 - max(i, upto)
-            upto = i + 3
-    return n, chars, symbols, again, repeated
+    return n, chars, symbols, again, repeated_words(np.array(codes, np.int64), len(ids))
+
+
+def repeated_words(codes: np.ndarray, kinds: int) -> int:
+    """Words, as numbers under kinds, that lie in a window of three that stands twice or more: a few numbers a word in memory."""
+    if len(codes) < 4:
+        return 0
+    pairs = codes[:-2] * kinds + codes[1:-1]
+    if kinds >= 1 << 20:  # pairs are numbered anew, so that windows fit 64 bits
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    _, place, count = np.unique(pairs * kinds + codes[2:], return_inverse=True, return_counts=True)
+    often = count[place] > 1
+    marked = np.zeros(len(codes), bool)
+    for i in range(3):
+        marked[i : len(codes) - 2 + i] |= often
+    return int(marked.sum())
 
 
 def clean(text: str, rules: LineRules) -> tuple[str, dict[str, int], int, int]:

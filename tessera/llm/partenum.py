@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, stage
+from tessera.llm.common import components, stage, unstage
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -56,32 +58,50 @@ def shingle_set(text: bytes | None, words: int, known: WordHashes) -> np.ndarray
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes low to high. Sets of these sizes, or of the band below, that are similar differ in at most parts - 1 - slack
-    elements, so of parts parts of the domain at least slack + 1 hold the same elements in both."""
+    """Sizes low to high, and how the domain is cut for them: into first parts, each of those into second parts.
+
+    Similar sets of these sizes, or of the band below, differ in at most differ elements, so of the first parts slack + 1
+    at least hold no more than spare differing elements. In such a part all but spare of its second parts are the same in
+    both sets: the subsets of second - spare second parts are enumerated, and each signs.
+    """
 
     number: int
     low: int
     high: int
-    parts: int
+    differ: int
+    first: int
+    second: int
+    spare: int
     slack: int
 
+    @property
+    def signatures(self) -> int:
+        return self.first * math.comb(self.second, self.spare)
+
 
 class PartEnum:
-    """Signatures for Jaccard similarity of at least percent / 100.
+    """Signatures for Jaccard similarity of at least percent / 100, by two levels of partitions and enumerated subsets.
 
     Sets are dealt into bands of near-equal size. Two similar sets lie in the same band or in neighbouring ones, so a set
-    signs for its own band and, if a partner could lie there, for the next. In a band the Hamming distance of similar
-    sets is at most k; the domain is cut into k + 1 + slack parts, and every subset of one part signs (first-level
-    partitions with nothing left to enumerate below). Equal parts give equal signatures, so similar sets share one.
-
-    An empty part says little, and there slack helps: of the slack + 1 equal parts that similar sets have at least,
-    not all are empty unless both sets have more than slack empty parts, and such sets sign for empty parts too.
+    signs for its own band and, if a partner could lie there, for the next. In a band the Hamming distance of similar sets
+    is at most k. With first-level partitions of which one at least has at most spare differing elements (n1 of them where
+    n1 * (spare + 1) > k), and second-level partitions in each, every subset of all but spare second-level partitions
+    signs. Equal contents give equal signatures, so similar sets share one. How many of both there are is chosen by band:
+    the fewest signatures by which unrelated sets seldom meet.
+
+    An empty subset says little, and there slack helps: with slack more first-level partitions than needed, slack + 1 of
+    them agree up to spare, and unless more than slack of a set's are thin (fewer than spare + 1 second-level partitions
+    hold anything), one that agrees shares a signature that is not empty. Only sets with more thin ones sign empty subsets.
     """
 
-    def __init__(self, percent: int, width: float = 1.25, seed: int = 0):
+    #: spare and second: the whole part where similar sets must be equal, else subsets of ever more second-level parts
+    SHAPES = ((0, 1), (1, 3), (1, 4), (2, 5), (3, 6), (3, 7))
+
+    def __init__(self, percent: int, width: float = 1.25, seed: int = 0, meet: float = 0.002, prefer: float = 1.6):
         if not 50 < percent <= 100:
             raise ValueError("percent must be over 50 and at most 100")
-        self.percent, self.seed = percent, seed
+        self.percent, self.seed, self.meet, self.prefer = percent, seed, meet, prefer
+        self.tail = NormalDist().inv_cdf(1 - math.sqrt(meet))  # both sets must have more thin parts to meet in an empty one
         self.width = max(width, 100 / percent)
         self.bands: list[Band] = []
 
@@ -91,28 +111,43 @@ class PartEnum:
             high = max(low, int(low * self.width))
             k = 2 * high * (100 - self.percent) // (100 + self.percent)
             least = max(1, -(-low * self.percent // 100))
-            self.bands.append(Band(len(self.bands), low, high, *self._slack(k, least)))
+            self.bands.append(Band(len(self.bands), low, high, k, *self._shape(k, least)))
         return self.bands[number]
 
-    @staticmethod
-    def _slack(k: int, least: int) -> tuple[int, int]:
-        """Parts and slack: the least slack that 99 of 100 sets of the least size need, if parts still hold two elements."""
-        for slack in range(k + 1):
-            parts = k + 1 + slack
-            if least / parts < 2:
-                break
-            mean = parts * math.exp(-least / parts)
-            if mean < 0.01 or mean + 2.33 * math.sqrt(mean) <= slack:  # the number of empty parts is about Poisson
-                return parts, slack
-        return k + 1, 0
+    def _shape(self, k: int, least: int) -> tuple[int, int, int, int]:
+        """first, second, spare and slack: of the shapes whose empty subsets unrelated sets share with a chance of at most
+        meet, the one of fewest signatures; one with subsets to enumerate counts as if it had prefer times fewer. Where
+        no shape is, the one that unrelated sets share least."""
+        found = []
+        for spare, second in self.SHAPES:
+            if spare > k:
+                continue
+            subsets = math.comb(second, spare)
+            slack = 0
+            while True:
+                first = k // (spare + 1) + 1 + slack
+                empty = math.exp(-least * (second - spare) / (first * second))
+                share = first * subsets * empty**2
+                thin = first * min(1.0, subsets * empty)  # about Poisson, so this much slack leaves few sets with more
+                need = 0 if share <= self.meet else math.ceil(thin + self.tail * math.sqrt(thin))
+                good = need <= slack
+                weight = first * subsets / (self.prefer if spare else 1.0)
+                found.append((not good, weight if good else share, (first, second, spare, slack)))
+                if good or (first + need - slack) * subsets > 3 * (k + 1):
+                    break
+                slack = need
+        return min(found)[2]
 
     @lru_cache(maxsize=4096)  # noqa: B019  one object for each task
-    def _edges(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges of all second-level parts in the domain, the enumerated subsets, and a salt for each subset of each first part."""
         band = self.band(number)
-        edges = np.array([-(-(p << 64) // band.parts) for p in range(1, band.parts)], np.uint64)
-        places = np.arange(band.parts, dtype=np.uint64)
+        parts = band.first * band.second
+        edges = np.array([-(-(p << 64) // parts) for p in range(1, parts)], np.uint64)
+        subsets = np.array(list(itertools.combinations(range(band.second), band.second - band.spare)))
+        places = np.arange(band.signatures, dtype=np.uint64).reshape(band.first, len(subsets))
         salt = np.uint64(xxhash.xxh3_64_intdigest(f"{self.seed}:{self.percent}:{number}".encode()))
-        return edges, mixed(places * _STEP + salt)
+        return edges, subsets, mixed(places * _STEP + salt)
 
     def bands_of(self, size: int) -> list[int]:
         number = 0
@@ -129,11 +164,14 @@ class PartEnum:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(elements ^ _STEP), dtype=np.uint64)])
         out = []
         for number in self.bands_of(len(elements)):
-            edges, salts = self._edges(number)
+            band = self.band(number)
+            edges, subsets, salts = self._cut(number)
             cuts = np.concatenate([[0], np.searchsorted(elements, edges, side="left"), [len(elements)]])
-            full = cuts[1:] > cuts[:-1]
-            signs = mixed(sums[cuts[1:]] - sums[cuts[:-1]] + salts)
-            out.append(signs if len(full) - full.sum() > self.band(number).slack else signs[full])
+            held = (cuts[1:] > cuts[:-1]).reshape(band.first, band.second)
+            parts = (sums[cuts[1:]] - sums[cuts[:-1]]).reshape(band.first, band.second)
+            signs = mixed(parts[:, subsets].sum(axis=2, dtype=np.uint64) + salts)
+            thin = int((held.sum(axis=1) <= band.spare).sum())
+            out.append(signs.ravel() if thin > band.slack else signs[held[:, subsets].any(axis=2)])
         return np.concatenate(out)
 
 
@@ -178,16 +216,17 @@ def shingle_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n_shingles long, hi long, lo long, sketch array<long>")
 
 
-def shared_signatures(docs: DataFrame, words: int, scheme: PartEnum, parts: int, flush: int = 1 << 18) -> DataFrame:
+def shared_signatures(docs: DataFrame, words: int, scheme: PartEnum, parts: int, spread: int, flush: int = 1 << 18) -> DataFrame:
     """Rows (sig, doc_id, hub) of signatures that two documents or more have: hub is one of them, the same for all.
 
     Signatures travel packed: a task sends, for each of the parts of the signature range, one binary row rather than
-    a row for each signature, and of a signature that many of its documents have only the first. The others have that
-    first one as their hub and skip the search, so a hot group reaches the search once for each flush of each task.
+    a row for each signature, and of a signature that many of its documents have only the first, with a mark. The others
+    have that first one as their hub and skip the search: they go to groups of their own, dealt out over spread, so that
+    a hot signature reaches the search once for each flush of each task, and no group holds all of its documents.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own, seen = WordHashes(), PartEnum(scheme.percent, scheme.width, scheme.seed), set()
+        known, own, seen = WordHashes(), PartEnum(scheme.percent, scheme.width, scheme.seed, scheme.meet, scheme.prefer), set()
         signs: list[np.ndarray] = []
         owners: list[np.ndarray] = []
 
@@ -196,22 +235,28 @@ def shared_signatures(docs: DataFrame, words: int, scheme: PartEnum, parts: int,
             order = np.lexsort((doc, sig))
             sig, doc = sig[order], doc[order]
             first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            hubs = doc[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            begins = np.flatnonzero(first)
+            group = np.cumsum(first) - 1
+            hubs = doc[begins[group]]
             fresh = first | (hubs != doc)
+            rest = np.zeros(len(sig), np.uint8)
+            rest[begins] = np.bincount(group, weights=fresh & ~first, minlength=len(begins)) > 0
             rows = []
             for again in (False, True):
                 use = fresh & (first != again)
-                s, d, h = sig[use], doc[use], hubs[use]
+                s, d, h, r = sig[use], doc[use], hubs[use], rest[use]
                 part = (s % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(part, kind="stable")
-                s, d, h, part = s[by], d[by], h[by], part[by]
+                s, d, h, r, part = s[by], d[by], h[by], r[by], part[by]
                 at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
                 ends = [*at[1:], len(part)] if len(part) else []
                 for a, b in zip(at, ends, strict=True):
-                    rows.append((int(part[a]), again, s[a:b].tobytes(), d[a:b].tobytes(), h[a:b].tobytes() if again else b""))
-            types = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+                    sigs, docs_ = s[a:b].tobytes(), d[a:b].tobytes()
+                    sub = 1 + xxhash.xxh3_64_intdigest(sigs + docs_) % spread if again else 0
+                    rows.append((int(part[a]), sub, sigs, docs_, h[a:b].tobytes() if again else r[a:b].tobytes()))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             columns = zip(*rows, strict=True) if rows else [()] * 5
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "again", "sig", "doc", "hub"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "sub", "sig", "doc", "more"])
 
         held = 0
         for batch in batches:
@@ -232,34 +277,26 @@ def shared_signatures(docs: DataFrame, words: int, scheme: PartEnum, parts: int,
             yield out()
 
     def search(packed: pa.Table) -> pa.Table:
-        def whole(name: str, kind: str, rows: pa.Table) -> np.ndarray:
-            found = [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
-            return np.concatenate(found) if found else np.zeros(0, kind)
-
-        again = np.array(packed.column("again").to_pylist(), bool)
-        new, old = packed.filter(pa.array(~again)), packed.filter(pa.array(again))
-        sig, doc = whole("sig", "<u8", new), whole("doc", "<i8", new)
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        old_sig = whole("sig", "<u8", old)
-        if len(sig):
+        def whole(name: str, kind: str) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, kind) for x in packed.column(name).to_pylist()])
+
+        sig, doc = whole("sig", "<u8"), whole("doc", "<i8")
+        if packed.column("sub")[0].as_py():
+            hubs = whole("more", "<i8")
+        else:
+            marked = whole("more", "u1")
+            order = np.lexsort((doc, sig))
+            sig, doc, marked = sig[order], doc[order], marked[order]
             first = np.concatenate([[True], sig[1:] != sig[:-1]])
             group = np.cumsum(first) - 1
-            starts = np.flatnonzero(first)
-            many = np.bincount(group) > 1
-            many |= np.isin(sig[starts], old_sig)
+            many = (np.bincount(group) > 1) | (np.bincount(group, weights=marked) > 0)
             use = many[group]
-            hubs = doc[starts[group]]
-            sig, doc, hubs = sig[use], doc[use], hubs[use]
-        else:
-            hubs = doc
-        out_sig = np.concatenate([sig, old_sig])
-        out_doc = np.concatenate([doc, whole("doc", "<i8", old)])
-        out_hub = np.concatenate([hubs, whole("hub", "<i8", old)])
-        return pa.table({"sig": pa.array(_signed(out_sig)), "doc_id": pa.array(out_doc), "hub": pa.array(out_hub)})
+            hubs = doc[np.flatnonzero(first)[group]][use]
+            sig, doc = sig[use], doc[use]
+        return pa.table({"sig": pa.array(_signed(sig)), "doc_id": pa.array(doc), "hub": pa.array(hubs)})
 
-    packed = docs.mapInArrow(sign, "part long, again boolean, sig binary, doc binary, hub binary")
-    return packed.groupBy("part").applyInArrow(search, "sig long, doc_id long, hub long")
+    packed = docs.mapInArrow(sign, "part long, sub long, sig binary, doc binary, more binary")
+    return packed.groupBy("part", "sub").applyInArrow(search, "sig long, doc_id long, hub long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -286,7 +323,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose Jaccard reaches percent, told by sizes, then sketches, then the sets themselves."""
+    """Those of the pairs (a, b) whose Jaccard reaches percent, staged: told by sizes, then sketches, then the sets themselves."""
     left = nodes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     right = nodes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
@@ -305,7 +342,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, per
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     both = both.select("a", "b", "na", "nb", common.alias("common"))
-    return both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
+    links = stage(both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "links")
+    unstage(near, sets)
+    return links
 
 
 def _as_pairs(rows: DataFrame) -> DataFrame:
@@ -409,7 +448,7 @@ def _across(rows: DataFrame, nodes: DataFrame, percent: int, forest: bool, block
 
 
 def similar_components(
-    docs: DataFrame, words: int = 5, percent: int = 80, part_signatures: int = 1 << 18, few: int = 32
+    docs: DataFrame, words: int = 5, percent: int = 80, part_signatures: int = 1 << 18, few: int = 32, scratch: list | None = None
 ) -> DataFrame:
     """Classes of documents that chains of links connect; two link if the Jaccard of their shingle sets is percent / 100.
 
@@ -422,48 +461,68 @@ def similar_components(
 
     Rows of equal doc_id are one node, the set with the least hash standing for it. Rows with a null doc_id link with
     nothing and have component_id null; null or empty texts have no shingles and are alone; an empty table gives no
-    rows; other columns are left out.
+    rows; other columns are left out. scratch, if given, gets the staged rows that the result still reads.
     Returns doc_id, n_shingles, component_id, one row for each row of the input.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = stage(shingle_rows(docs, words), "shingles")
     known = members.where("doc_id is not null and n_shingles > 0")
     docs = docs.where("doc_id is not null")
-    reps = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    node_of = stage(known.select("doc_id", "hi", "lo").join(reps, ["hi", "lo"]).select("doc_id", "rep").distinct(), "reps")
+    # staged, so that the join below reads both sides as they are and adaptive execution can split a hot set
+    reps = stage(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "least")
+    node_of = stage(known.select("doc_id", "hi", "lo").join(reps.hint("merge"), ["hi", "lo"]).select("doc_id", "rep").distinct(), "reps")
+    unstage(reps)
     nodes = known.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n_shingles", "sketch")).alias("s")).select("doc_id", "s.*")
     nodes = stage(nodes.join(node_of.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "nodes")
     scheme = PartEnum(percent)
-    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    total, rows = members.agg(F.sum("n_shingles"), F.count("*")).first()
     share = 2.8 * (100 - percent) / (100 + percent) * 2  # signatures of a set by its size, about
-    parts = max(1, math.ceil(total * share / part_signatures))
+    parts = max(1, math.ceil((total or 0) * share / part_signatures))
 
-    shared = stage(shared_signatures(docs, words, scheme, parts), "shared")
+    found = stage(shared_signatures(docs, words, scheme, parts, 1 + rows // part_signatures), "shared")
     to = [node_of.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep")) for c in ("doc_id", "hub")]
-    shared = shared.join(to[0], "doc_id").join(to[1], "hub").select("sig", F.col("doc_id_rep").alias("node"), F.col("hub_rep").alias("hub"))
+    shared = found.join(to[0], "doc_id").join(to[1], "hub").select("sig", F.col("doc_id_rep").alias("node"), F.col("hub_rep").alias("hub"))
     shared = stage(shared.distinct(), "groups")
+    unstage(found)
     tested = stage(_as_pairs(shared.select(F.col("node").alias("x"), F.col("hub").alias("y"))), "tested")
+    hubs = _linked(tested, docs, nodes, words, percent)
     equal = node_of.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = stage(_linked(tested, docs, nodes, words, percent).union(equal), "links")
-    classes = stage(components(links), "classes")
+    every = [hubs]
+
+    def joined() -> DataFrame:
+        links = equal
+        for more in every:
+            links = links.union(more)
+        linked = components(links)
+        out = stage(linked, "classes")
+        unstage(linked)
+        return out
 
     def classed(rows: DataFrame) -> DataFrame:
         """Rows (sig, node) of signatures whose nodes lie in several classes."""
         found = rows.join(classes.select("node", F.col("component").alias("c")), "node", "left")
         found = found.select("sig", "node", F.coalesce("c", "node").alias("c"))
         split = found.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 <> c2")
-        return found.join(split.select("sig", "n"), "sig")
+        return stage(found.join(split.select("sig", "n"), "sig"), "split")
 
-    rows = shared.select("sig", "node").union(shared.select("sig", F.col("hub").alias("node"))).distinct()
-    rows = stage(classed(rows), "split")
+    classes = joined()
+    rows = classed(shared.select("sig", "node").union(shared.select("sig", F.col("hub").alias("node"))).distinct())
+    unstage(shared)
     for forest in (True, False):
         # a signature of few documents has at most (few - 1) / 2 pairs for each, so it needs no first round
         across = _across(rows.where(F.col("n") > few) if forest else rows, nodes, percent, forest).join(tested, ["a", "b"], "left_anti")
-        more = stage(_linked(across, docs, nodes, words, percent), "more-links")
+        more = _linked(across, docs, nodes, words, percent)
+        every.append(more)
         if not more.isEmpty():
-            links = links.union(more)
-            classes = stage(components(links), "classes")
-            rows = stage(classed(rows.select("sig", "node")), "split")
+            old = classes, rows
+            classes = joined()
+            if forest:
+                rows = classed(rows.select("sig", "node"))
+                unstage(old[1])
+            unstage(old[0])
+    unstage(rows, tested, nodes, node_of, *every)
+    if scratch is not None:
+        scratch.extend((members, classes))
     found = members.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -471,13 +530,16 @@ def similar_components(
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row, with all its columns, of each class of similar_components: that of the least doc_id.
 
-    Of rows with equal doc_id one stays; rows with a null doc_id stay, as they link with nothing.
+    Of rows with equal doc_id one stays; rows with a null doc_id stay, as they link with nothing; null or empty texts are
+    alone, so they stay too. An empty table gives no rows; columns may have any names.
     """
-    classes = similar_components(docs, words, percent)
+    scratch: list = []
+    classes = similar_components(docs, words, percent, scratch=scratch)
     gone = stage(classes.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    repeated = not classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    unstage(*scratch)
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    ids = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if ids.isEmpty():
+    if not repeated:
         return left
     known = left.where("doc_id is not null").dropDuplicates(["doc_id"])
     return known.unionByName(left.where("doc_id is null"))

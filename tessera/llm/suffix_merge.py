@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import stage, unstage
 from tessera.llm.partenum import mixed
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -161,43 +161,54 @@ def _cut(blob: bytes, lengths: np.ndarray) -> list[bytes]:
 # ---- the operator
 
 
+#: What names a document in rows that travel without its text: 64 bits of hash, and 30 more in tag, whose last bit is free.
+NAME = ["key", "tag"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), text).alias("key"))
+    known = F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), text
+    tag = F.xxhash64(F.lit(1), *known).bitwiseAND(0x7FFFFFFE).cast("int")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(*known).alias("key"), tag.alias("tag"))
 
 
 def _raw(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def repeated_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, print) of anchors whose fingerprint stands in the corpus twice or more."""
+def repeated_anchors(keyed: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """Staged rows (key, tag, print, hot) of anchors whose fingerprint stands in the corpus twice or more; hot: over hot times."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            keys, prints, counts = [], [], []
-            for text, key in zip(_raw(batch, 0), batch.column(1).to_pylist(), strict=True):
+            keys, tags, prints = [], [], []
+            for text, key, tag in zip(_raw(batch, 0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found, _, _, _ = anchors(np.frombuffer(text, np.uint8), length, gram, rolling)
                 some, n = np.unique(found, return_counts=True)
                 keys.append(np.full(len(some), key, np.int64))
+                tags.append((tag | (n > 1)).astype(np.int32))  # the free bit: the text has it twice
                 prints.append(some.view(np.int64))
-                counts.append(np.minimum(n, 2).astype(np.int64))
             if keys:
-                columns = [pa.array(np.concatenate(c)) for c in (keys, prints, counts)]
-                yield pa.record_batch(columns, names=["key", "print", "n"])
+                columns = [pa.array(np.concatenate(c)) for c in (keys, tags, prints)]
+                yield pa.record_batch(columns, names=["key", "tag", "print"])
 
-    each = stage(keyed.select("text", "key").mapInArrow(emit, "key long, print long, n long"), "anchors")
-    often = each.groupBy("print").agg(F.sum("n").alias("n")).where("n > 1").select("print")
-    return each.join(often, "print").select("key", "print")
+    each = stage(keyed.select("text", "key", "tag").mapInArrow(emit, "key long, tag int, print long"), "anchors")
+    often = each.groupBy("print").agg(F.sum(1 + F.col("tag").bitwiseAND(1)).alias("n")).where("n > 1")
+    often = often.select("print", (F.col("n") > hot).alias("hot"))
+    wanted = each.join(often, "print").select("key", F.col("tag").bitwiseAND(-2).alias("tag"), "print", "hot")
+    wanted = stage(wanted, "wanted")
+    unstage(each)
+    return wanted
 
 
 def sorted_runs(docs: DataFrame, length: int, gram: int, parts: int, flush: int = 20000) -> DataFrame:
-    """Records of the wanted anchors of (text, key, prints): runs by part of the order, and instances by document.
+    """Records of the wanted anchors of (text, key, tag, prints, hots): runs by part of the order, and instances by document.
 
     A record is the fingerprint, the text from the anchor on and, last, the text before it, as far as the strings that
-    the anchor stands for reach. A run holds each record of a flush once, with its number of instances.
+    the anchor stands for reach. A run holds each record of a flush once, with its number of instances. At the anchors
+    of hots each string is a row of its own instead (part -2, hi the fingerprint, lo the string's hash).
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +217,7 @@ def sorted_runs(docs: DataFrame, length: int, gram: int, parts: int, flush: int
         instances: list[tuple] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = [(-1, None, None, None, hi, lo, key, first) for hi, lo, key, first in instances]
+            rows = [(part, None, None, None, hi, lo, key, tag, first) for part, hi, lo, key, tag, first in instances]
             by_part: dict[int, list[bytes]] = {}
             for record in sorted(records):
                 by_part.setdefault((int.from_bytes(record[:8], "big") * parts) >> 64, []).append(record)
@@ -216,9 +227,9 @@ def sorted_runs(docs: DataFrame, length: int, gram: int, parts: int, flush: int
                 counts = [records[s][0] for s in strings]
                 sizes = _numbers(shared), _numbers([len(r) for r in rest]), _numbers(lefts), _numbers(counts)
                 packed = pa.compress(b"".join(rest), "zstd", asbytes=True)
-                rows.append((part, b"".join(sizes), packed, len(strings), None, None, None, None))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            names = ["part", "numbers", "rest", "n", "hi", "lo", "key", "first"]
+                rows.append((part, b"".join(sizes), packed, len(strings), None, None, None, None, None))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            names = ["part", "numbers", "rest", "n", "hi", "lo", "key", "tag", "first"]
             for a in range(0, len(rows), 4096):
                 columns = zip(*rows[a : a + 4096], strict=True)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -226,10 +237,20 @@ def sorted_runs(docs: DataFrame, length: int, gram: int, parts: int, flush: int
             instances.clear()
 
         for batch in batches:
-            for text, key, wanted in zip(_raw(batch, 0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, *columns in zip(_raw(batch, 0), *(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                key, tag, wanted, hots = columns
                 raw = np.frombuffer(text, np.uint8)
                 prints, at, first, last = anchors(raw, length, gram, rolling)
-                use = np.flatnonzero(np.isin(prints.view(np.int64), np.array(wanted, np.int64)))
+                signed = prints.view(np.int64)
+                if hots:
+                    strings = rolling.of(raw, length).view(np.int64)
+                    for i in np.flatnonzero(np.isin(signed, np.array(hots, np.int64))).tolist():
+                        starts = range(first[i], last[i] + 1)
+                        instances.extend((-2, int(signed[i]), s, key, tag, b) for s, b in zip(strings[first[i] : last[i] + 1].tolist(), starts, strict=True))
+                        if len(instances) >= flush:
+                            yield from out()
+                    wanted = set(wanted).difference(hots)
+                use = np.flatnonzero(np.isin(signed, np.array(sorted(wanted), np.int64)))
                 for p, a, b, e in zip(prints[use].tolist(), at[use].tolist(), first[use].tolist(), last[use].tolist(), strict=True):
                     record = p.to_bytes(8, "big") + (a - b).to_bytes(4, "big") + text[a : e + length] + text[b:a]
                     # the offset of the anchor stands after the fingerprint, so that strings of a record line up
@@ -238,14 +259,14 @@ def sorted_runs(docs: DataFrame, length: int, gram: int, parts: int, flush: int
                         hi, lo = np.frombuffer(xxhash.xxh3_128_digest(record), "<i8").tolist()
                         known = records[record] = [0, a - b, hi, lo]
                     known[0] += 1
-                    instances.append((known[2], known[3], key, b))
+                    instances.append((-1, known[2], known[3], key, tag, b))
                 if len(instances) >= flush:
                     yield from out()
         if instances:
             yield from out()
 
-    schema = "part long, numbers binary, rest binary, n long, hi long, lo long, key long, first long"
-    return docs.select("text", "key", "prints").mapInArrow(make, schema)
+    schema = "part long, numbers binary, rest binary, n long, hi long, lo long, key long, tag int, first long"
+    return docs.select("text", "key", "tag", "prints", "hots").mapInArrow(make, schema)
 
 
 def merged_repeats(runs: DataFrame, length: int) -> DataFrame:
@@ -299,7 +320,7 @@ def merged_repeats(runs: DataFrame, length: int) -> DataFrame:
     return runs.groupBy("part").applyInArrow(merge, "hi long, lo long, froms array<long>, tos array<long>")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, part_records: int = 20000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, part_records: int = 20000, hot: int = 100000, with_text: bool = False) -> DataFrame:
     """Remove each byte that a string of length bytes covers which starts anywhere else, in the same document or another.
 
     1. Sparse suffixes: of every string of length bytes the gram of least hash is its anchor; equal strings have
@@ -309,23 +330,30 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, part_reco
     3. The texts at those anchors (records) are sorted in each task, front-coded, and sent by range of the order, equal
        ones of a task once; LCP loser trees merge the runs of a range, never reading a known prefix again. Records that
        agree in full are repeats; among records of one fingerprint that differ, strings are told apart one by one.
+       A fingerprint that stands over hot times would fill a task with records: there each string of length bytes is a
+       row, and rows are counted by fingerprint and string, which Spark does in part before it shuffles.
     4. Each instance of a record takes its record's repeats, and each document the union of them.
 
     Texts are judged as UTF-8 on the input as it is; null text is empty; matches never cross documents; texts under
     length bytes keep all. Repeated rows repeat each other; doc_id may be null; an empty table gives no rows; other
-    columns are left out. Strings are told apart by 64-bit hashes within one fingerprint.
+    columns are left out. Strings are told apart by 64-bit hashes within one fingerprint, documents by 94 bits.
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept, the remaining bytes.
     """
     keyed = _keyed(docs)
-    wanted = stage(repeated_anchors(keyed, length, gram), "wanted")
+    wanted = repeated_anchors(keyed, length, gram, hot)
     parts = max(1, -(-wanted.count() // part_records))
-    prints = wanted.groupBy("key").agg(F.collect_set("print").alias("prints"))  # of one text: no larger than the text
-    made = stage(sorted_runs(keyed.join(prints, "key"), length, gram, parts), "runs")
+    prints = wanted.groupBy(NAME).agg(F.collect_set("print").alias("prints"), F.collect_set(F.when(F.col("hot"), F.col("print"))).alias("hots"))  # of one text: no larger than the text
+    made = stage(sorted_runs(keyed.join(prints, NAME), length, gram, parts), "runs")
+    unstage(wanted)
     repeats = merged_repeats(made.where("part >= 0").select("part", "numbers", "rest", "n"), length)
-    spans = made.where("part < 0").select("hi", "lo", "key", "first").distinct().join(repeats, ["hi", "lo"])
-    spans = spans.select("key", "first", F.explode(F.arrays_zip("froms", "tos")).alias("s"))
+    spans = made.where("part = -1").select("hi", "lo", *NAME, "first").distinct().join(repeats, ["hi", "lo"])
+    spans = spans.select(*NAME, "first", F.explode(F.arrays_zip("froms", "tos")).alias("s"))
+    single = made.where("part = -2").select("hi", "lo", *NAME, "first")
+    again = single.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo")
+    zero = F.struct(F.lit(0).cast("long").alias("froms"), F.lit(0).cast("long").alias("tos"))
+    spans = spans.unionByName(single.join(again, ["hi", "lo"]).select(*NAME, "first").distinct().withColumn("s", zero))
     both = F.struct((F.col("s.froms") + F.col("first")).alias("a"), (F.col("s.tos") + F.col("first")).alias("b"))
-    spans = spans.groupBy("key").agg(F.collect_list(both).alias("spans"))  # of one text
+    spans = spans.groupBy(NAME).agg(F.collect_list(both).alias("spans"))  # of one text
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
 
@@ -351,4 +379,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, part_reco
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return keyed.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    return keyed.join(spans, NAME, "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)

@@ -135,6 +135,40 @@ def test_line_rules(docs, rows, empty):
     assert line_rules.line_quality(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "line, why",
+    [
+        ("Home | About | Contact | Login", "navigation"), ("Startseite Suche Kontakt", "navigation"), ("Accueil » Recherche » Aide", "navigation"),
+        ("Tous droits réservés, le site parle de ce que nous avons fait hier.", "boilerplate"), ("Todos los derechos reservados.", "boilerplate"),
+        ("wow!! great!! buy!!", "punctuation"), ("no sentence here", "punctuation"), ("A plain sentence that ends as it should.", ""),
+        ("It was, he said, a long day with many words and no end mark in the line at all", ""),
+    ],
+)
+def test_rules_by_line(line, why):
+    assert line_rules.LineRules().verdict(line, line_rules.split_words(line)) == why
+
+
+def test_lines_lost_and_kept(spark):
+    rng = random.Random(11)
+    good = "\n".join("A " + " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(9)) + "." for _ in range(20))
+    half = good + "\n" + "\n".join(f"Home | Login | Page {i} | Search | Contact | Register | Help | Next | Back | Top | Share | Print" for i in range(40))
+    got = line_rules.line_quality(spark.createDataFrame([(1, good), (2, half), (3, None)], "doc_id long, text string"), with_text=True).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [True, False, False] and got[1].n_navigation == 40 and got[1].clean_text == good
+    assert got[1].lost_chars == sum(len(w) for line in half.split("\n")[20:] for w in line.split())
+
+
+def test_very_long_text(spark):
+    """A text of 1.6 MB goes through the operators whole."""
+    text = "\n".join(f"Line {i} holds some words, a key={i:x} and ends in a mark." for i in range(30_000))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    assert {r.doc_id: r.n_words for r in line_rules.line_quality(docs).collect()} == {1: 30_000 * 12, 2: 1}
+    assert {r.doc_id: r.n_assign for r in secrets.scan_secrets(docs).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.n_spans for r in pii.scan_pii(docs, made=1500).collect()}[2] == 0
+    assert {r.doc_id: r.n_bytes for r in suffix_merge.remove_repeats(docs).collect()}[1] == len(text)
+    assert {r.doc_id: r.n_shingles for r in partenum.similar_components(docs).collect()}[1] == 30_000 * 12 - 4
+    assert sum(r.taken for r in mixing.mix_sources(docs.withColumn("source", F.lit("s"))).collect()) > 0
+
+
 def test_line_rules_follow_labels(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     both = line_rules.line_quality(docs).where("not base_failed").join(labels, "doc_id").collect()
@@ -182,6 +216,46 @@ def test_partenum(docs, rows, empty, words, percent):
     assert partenum.similar_components(empty, words, percent).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_a_signature(percent):
+    import numpy as np
+
+    rng, scheme = np.random.default_rng(percent), partenum.PartEnum(percent)
+
+    def some(n):
+        return np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+
+    tried = 0
+    while tried < 1500:
+        a = some(int(rng.integers(3, 260)))
+        gone, more = (int(rng.integers(0, len(a) // 4 + 1)) for _ in range(2))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[gone:]], some(more)]))
+        if 100 * (len(a) - gone) >= percent * (len(a) + more):
+            tried += 1
+            assert set(scheme.signatures(a).tolist()) & set(scheme.signatures(b).tolist())
+    short = [set(scheme.signatures(some(int(rng.integers(18, 40)))).tolist()) for _ in range(300)]
+    assert sum(bool(x & y) for x, y in itertools.combinations(short, 2)) < 0.005 * 300 * 299 / 2
+    assert any(scheme.band(i).spare for i in range(30)) and all(b.first * (b.spare + 1) > b.differ for b in scheme.bands)
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_pairs_across_classes_in_large_groups(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 60, 40, dtype=np.uint64) for _ in range(60)]
+    sets += [np.concatenate([s[:38], rng.integers(0, 1 << 60, 2, dtype=np.uint64)]) for s in sets[:30]]
+    sets = [np.unique(s) for s in sets]
+    rows = [(sig, i, i % 45, len(sets)) for sig in (5, -6) for i in range(len(sets))]
+    nodes = spark.createDataFrame([(i, len(s), partenum.parity_sketch(s).tolist()) for i, s in enumerate(sets)], "doc_id long, n_shingles long, sketch array<long>")
+    data = spark.createDataFrame(rows, "sig long, node long, c long, n long")
+    want = {(i, i + 60) for i in range(30) if i % 45 != (i + 60) % 45}
+    got = {tuple(r) for r in partenum._across(data, nodes, 80, False, block=block).collect()}
+    assert want <= got and len(got) <= len(want) + 2
+    forest = {tuple(r) for r in partenum._across(data, nodes, 80, True, block=block).collect()}
+    assert len({frozenset((a % 45, b % 45)) for a, b in forest}) == len({frozenset((a % 45, b % 45)) for a, b in want})
+
+
 def test_keep_one_keeps_columns(docs):
     left = partenum.keep_one(docs)
     assert left.columns == docs.columns
@@ -254,7 +328,8 @@ def test_loose_numbers_in_running_text(spark):
     assert all(t[m.start : m.end] == m.value for t, r in zip(texts, found) for m in r.n)
 
 
-def test_suffix_merge(docs, rows, empty):
+@pytest.mark.parametrize("hot", [100000, 2])
+def test_suffix_merge(docs, rows, empty, hot):
     texts = [(i, (t or "").encode()) for i, t, _ in rows]
     counts = collections.Counter(t[p : p + 200] for _, t in texts for p in range(len(t) - 199))
     want = collections.Counter()
@@ -266,7 +341,7 @@ def test_suffix_merge(docs, rows, empty):
         runs = len(re.findall(rb"\x01+", bytes(gone)))
         kept = bytes(c for c, g in zip(t, gone) if not g)
         want[i, len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()] += 1
-    assert collections.Counter(tuple(r) for r in suffix_merge.remove_repeats(docs, part_records=50).collect()) == want
+    assert collections.Counter(tuple(r) for r in suffix_merge.remove_repeats(docs, part_records=50, hot=hot).collect()) == want
     assert suffix_merge.remove_repeats(empty).count() == 0
 
 
