@@ -133,13 +133,14 @@ def fitted_space(docs: DataFrame, size: int, rank: int, passage: int, seed: int)
 
 def best_window(ids: np.ndarray, space: np.ndarray, width: int, vectors: np.ndarray) -> tuple[float, int]:
     """The highest cosine of a window of width words with any of the unit vectors, and its start; every window counts."""
-    sums = np.r_[np.zeros((1, space.shape[1])), np.cumsum(space[ids], axis=0, dtype=np.float64)]
+    sums = np.cumsum(space[ids], axis=0)
     width = min(width, len(ids))
-    views = sums[width:] - sums[:-width]
+    views = sums[width - 1 :].copy()
+    views[1:] -= sums[:-width]
     norm = np.sqrt(np.maximum(np.einsum("ij,ij->i", views, views), 1e-24))
     close = (views @ vectors.T).max(axis=1) / norm
     start = int(close.argmax())
-    return float(close[start]), start
+    return min(1.0, float(close[start])), start
 
 
 def common_subsequence(item: dict[int, int], words: list[int]) -> int:
