@@ -75,8 +75,19 @@ def _arguments(toks: list[Token]) -> list[list[Token]]:
     return out if out != [[]] else []
 
 
+def json_path(key: str) -> str:
+    """The path of a key, as a SQL text: a key is a name of its own, dots and all, unless it starts with $."""
+    if key.startswith("'$"):
+        return key
+    if key.isdigit():
+        return f"'$[{key}]'"
+    if key.startswith("'"):
+        return "'$[\\'" + key[1:-1].replace("\\'", "\\\\\\'") + "\\']'"
+    return f"concat('$[\\'', {key}, '\\']')"
+
+
 def _json(op: str, left: str, right: str) -> str:
-    path = "'$." + right[1:].removeprefix("$.") if right.startswith("'") else f"concat('$.', {right})"
+    path = json_path(right)
     if op == "->>":
         return f"get_json_object({left}, {path})"
     if op == "->":
@@ -89,21 +100,24 @@ def _json(op: str, left: str, right: str) -> str:
     if op == "?":
         return f"coalesce(array_contains({keys}, {right}), false)"
     wanted = f"transform(split({right}, ','), k -> trim(k))"
-    return f"arrays_overlap({keys}, {wanted})" if op == "?|" else f"size(array_except({wanted}, {keys})) = 0"
+    found = f"arrays_overlap({keys}, {wanted})" if op == "?|" else f"size(array_except({wanted}, {keys})) = 0"
+    return f"coalesce({found}, false)"
 
 
 def rewrite(sql: str) -> str:
     """Spark SQL of one statement. Parameters $1, $2 ... become the named parameters :p1, :p2 ..."""
-    return _joined(tokens(sql))
+    return joined(tokens(sql))
 
 
-def _joined(toks: list[Token]) -> str:
+def joined(toks: list[Token]) -> str:
     out: list[str] = []
     i = 0
     while i < len(toks):
         t = toks[i]
         following = toks[i + 1].text if i + 1 < len(toks) else ""
-        if t.kind == "string":
+        if t.kind == "relation":
+            piece = t.text
+        elif t.kind == "string":
             piece = "'" + t.text[1:-1].replace("\\", "\\\\").replace("''", "\\'") + "'"
         elif t.kind == "param":
             piece = f":p{t.text[1:]}"
@@ -141,7 +155,7 @@ def _operand(toks: list[Token], at: int) -> tuple[str, int]:
         end = at + 1
         while end + 1 < len(toks) and toks[end].text == "." and toks[end + 1].kind == "name":
             end += 2
-    return _joined(toks[at:end]), end
+    return joined(toks[at:end]), end
 
 
 def _call(name: str, inside: list[Token]) -> str:
@@ -149,8 +163,8 @@ def _call(name: str, inside: list[Token]) -> str:
     words = {t.text.upper() for t in inside if t.kind == "name"}
     standard = name.upper() == "CAST" and "AS" in words or name.upper() in ("EXTRACT", "TRIM", "SUBSTRING") and "FROM" in words
     if form is None or standard:
-        return f"{name}({_joined(inside)})"
-    arguments = [_joined(a) for a in _arguments(inside)]
+        return f"{name}({joined(inside)})"
+    arguments = [joined(a) for a in _arguments(inside)]
     try:
         return form(*arguments) if callable(form) else form.format(*arguments)
     except (IndexError, TypeError) as wrong:

@@ -1,4 +1,4 @@
-"""JSON functions that Spark lacks, as Arrow-batched UDFs over JSON text: containment, set, remove, merge, append."""
+"""JSON functions that Spark lacks, as Arrow-batched UDFs over JSON text: containment, set, remove, append."""
 
 from __future__ import annotations
 
@@ -106,15 +106,6 @@ def json_remove(text: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([one(*r) for r in zip(text, path, strict=True)], dtype="object")
 
 
-@F.pandas_udf(T.StringType())
-def json_merge(left: pd.Series, right: pd.Series) -> pd.Series:
-    def one(a, b):
-        (ok, x), (also, y) = parsed(a), parsed(b)
-        return dumped(x | y) if ok and also and isinstance(x, dict) and isinstance(y, dict) else None
-
-    return pd.Series([one(*r) for r in zip(left, right, strict=True)], dtype="object")
-
-
 @F.pandas_udf(T.StringType())
 def json_array_append(text: pd.Series, value: pd.Series) -> pd.Series:
     def one(t, v):
@@ -124,7 +115,7 @@ def json_array_append(text: pd.Series, value: pd.Series) -> pd.Series:
     return pd.Series([one(*r) for r in zip(text, value, strict=True)], dtype="object")
 
 
-UDFS = {f"tessera_{f.__name__}": f for f in (json_contains, json_set, json_remove, json_merge, json_array_append)}
+UDFS = {f"tessera_{f.__name__}": f for f in (json_contains, json_set, json_remove, json_array_append)}
 
 
 def register(spark: SparkSession) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 
@@ -35,6 +36,32 @@ def _typeof(j: str) -> str:
     )
 
 
+#: Letters of strftime and of to_char patterns in those of Spark (fixed values).
+_PERCENT = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%p": "a", "%j": "DDD", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE"}
+_CHAR = {"YYYY": "yyyy", "YY": "yy", "MM": "MM", "DD": "dd", "HH24": "HH", "HH12": "hh", "HH": "HH", "MI": "mm", "SS": "ss", "MON": "MMM", "MONTH": "MMMM"}
+
+
+def _pattern(text: str, letters: dict[str, str]) -> str:
+    """A pattern literal in Spark's letters; other letters in it are quoted, for Spark would read them as fields."""
+    if not text.startswith("'"):
+        return text
+    found = "|".join(sorted(map(re.escape, letters), key=len, reverse=True))
+    return "'" + re.sub(rf"({found})|([A-Za-z]+)", lambda m: letters[m[1]] if m[1] else rf"\'{m[2]}\'", text[1:-1]) + "'"
+
+
+def _strftime(first: str, second: str) -> str:
+    value, text = (first, second) if second.startswith("'%") or not first.startswith("'") else (second, first)
+    return f"date_format({value}, {_pattern(text, _PERCENT)})"
+
+
+def _merged(a: str, b: str) -> str:
+    """Objects merged at the top, the right one winning; null unless both are objects. Keys come out sorted."""
+    left, right = (f"from_json({x}, 'map<string,variant>')" for x in (a, b))
+    whole = f"map_concat(map_filter({left}, (k, v) -> NOT map_contains_key({right}, k)), {right})"
+    both = " AND ".join(f"schema_of_variant(try_parse_json({x})) LIKE 'OBJECT%'" for x in (a, b))
+    return f"CASE WHEN {both} THEN to_json(parse_json(to_json({whole}))) END"
+
+
 #: Column types of the dialect in Spark (fixed values).
 TYPES = {
     "SMALLINT": "SMALLINT", "TINYINT": "SMALLINT", "INT": "INT", "INTEGER": "INT", "BIGINT": "BIGINT", "SERIAL": "BIGINT",
@@ -48,6 +75,14 @@ TYPES = {
 }
 
 FUNCTIONS: dict[str, str | Callable[..., str]] = {
+    "RANDOM": "rand()",
+    "LOG": lambda x, y=None: f"ln({x})" if y is None else f"log({x}, {y})",
+    "STRFTIME": _strftime,
+    "TO_CHAR": lambda v, text: f"date_format({v}, {_pattern(text, _CHAR)})",
+    "TIME_FORMAT": lambda v, text: f"date_format({v}, {_pattern(text, _PERCENT)})",
+    "DATE_FORMAT": lambda v, text: f"date_format({v}, {_pattern(text, _PERCENT) if '%' in text else text})",
+    "TO_DATE": lambda v, text=None: f"to_date({v})" if text is None else f"to_date({v}, {_pattern(text, _CHAR)})",
+    "TO_TIMESTAMP": lambda v, text=None: f"to_timestamp({v})" if text is None else f"to_timestamp({v}, {_pattern(text, _CHAR)})",
     "LEN": "length({0})",
     "SUBSTRING": _substring,
     "SUBSTR": _substring,
@@ -85,7 +120,7 @@ FUNCTIONS: dict[str, str | Callable[..., str]] = {
     "JSON_VALID": "(try_parse_json({0}) IS NOT NULL)",
     "JSON_SET": "tessera_json_set({0}, {1}, cast({2} AS STRING))",
     "JSON_REMOVE": "tessera_json_remove({0}, {1})",
-    "JSON_MERGE": "tessera_json_merge({0}, {1})",
+    "JSON_MERGE": _merged,
     "JSON_ARRAY_APPEND": "tessera_json_array_append({0}, cast({1} AS STRING))",
     "JSON_OBJECT": _json_object,
     "JSON_ARRAY": lambda *v: f"to_json(array({', '.join(v)}))",

@@ -221,9 +221,80 @@ def rls_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.sql("SELECT COUNT(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey")
 
 
+
+@query("rls_join_view", "SELECT n_name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 0 GROUP BY n_name")
+def rls_join_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = SqlSession(spark, sf_dir, row_filters={"customer": "c_mktsegment = 'MACHINERY'"})
+    session.sql("CREATE VIEW rich AS SELECT * FROM customer c WHERE c.c_acctbal > 0")
+    return session.sql("SELECT n_name, COUNT(*) AS n FROM rich, nation WHERE c_nationkey = n_nationkey GROUP BY n_name")
+
+
+# ---- names, commas, literals, theta and natural joins, windows, what is only lexed elsewhere
+text("join_comma", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> 'from nation, region'")
+text("literal_with_from", "SELECT n_nationkey, 'from nation, region {x}' AS t FROM nation WHERE n_name <> 'join region'")
+text("join_natural", "SELECT r_name, n_name FROM (SELECT r_regionkey AS k, r_name FROM region) a NATURAL JOIN (SELECT n_regionkey AS k, n_name FROM nation) b")
+text("join_using", "SELECT a.r_name, b.n_name FROM (SELECT r_regionkey AS k, r_name FROM region) a JOIN (SELECT n_regionkey AS k, n_name FROM nation) b USING (k)")
+text("join_theta", "SELECT a.p_partkey AS k, COUNT(*) AS n FROM part a JOIN supplier s ON a.p_retailprice < s.s_acctbal WHERE a.p_size < 5 GROUP BY a.p_partkey")
+text("join_range", "SELECT r_name, COUNT(*) AS n FROM customer JOIN region ON c_acctbal BETWEEN r_regionkey * 1000 AND r_regionkey * 1000 + 500 GROUP BY r_name")
+text("with_clause", "WITH big AS (SELECT o_custkey, SUM(o_totalprice) AS s FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE s > 1500000) SELECT c_name FROM customer JOIN top ON c_custkey = o_custkey")
+text("derived_table", "SELECT k, n FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey) t WHERE n > 3")
+text("json_arrow_where", "SELECT event_id FROM events WHERE CAST(props ->> 'k', INT) > 50 AND props -> 'k' IS NOT NULL", f"SELECT event_id FROM events WHERE {K} > 50")
+text("json_dotted_key", "SELECT event_id, JSON_SET('{\"a.b\": 1}', '$.c', event_id) ->> 'a.b' AS v FROM events", "SELECT event_id, '1' AS v FROM events")
+text("json_keys_of_array", "SELECT event_id, '[1]' ?| 'a,b' AS x, '[1]' ?& 'a' AS y, '3' ? 'a' AS z FROM events", "SELECT event_id, false AS x, false AS y, false AS z FROM events")
+text("json_merge_nested", "SELECT event_id, JSON_MERGE('{\"a\": {\"x\": 1}, \"b\": 2}', '{\"a\": [1, null]}') AS j, JSON_MERGE(props, '[1]') AS n FROM events", "SELECT event_id, '{\"a\":[1,null],\"b\":2}' AS j, CAST(NULL AS VARCHAR) AS n FROM events")
+text("agg_approx", "SELECT o_orderstatus, abs(approx_count_distinct(o_custkey) - COUNT(DISTINCT o_custkey)) <= 0.2 * COUNT(DISTINCT o_custkey) + 2 AS near FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, true AS near FROM orders GROUP BY o_orderstatus")
+text("agg_cube", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+text("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+_BY = "PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey"
+for _name, _call in (
+    ("rank_ties", "RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)"),
+    ("dense_rank", "DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)"),
+    ("percent_rank", "ROUND(PERCENT_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority), 6)"),
+    ("ntile", f"NTILE(3) OVER ({_BY})"),
+    ("lead", f"LEAD(o_orderkey, 2) OVER ({_BY})"),
+    ("first_value", f"FIRST_VALUE(o_orderkey) OVER ({_BY})"),
+    ("last_value", f"LAST_VALUE(o_orderkey) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+    ("nth_value", f"NTH_VALUE(o_orderkey, 2) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+    ("rows_frame", f"ROUND(SUM(o_totalprice) OVER ({_BY} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2)"),
+    ("range_frame", "COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING)"),
+):
+    text(f"window_{_name}", f"SELECT o_orderkey, CAST({_call} AS DOUBLE) AS v FROM orders")
+for _name, _from, _key, _expr, _duck in (
+    ("position", "part", "p_partkey", "POSITION('#' IN p_brand)", "CAST(position('#' IN p_brand) AS INT)"),
+    ("locate", "part", "p_partkey", "LOCATE('#', p_brand)", "CAST(instr(p_brand, '#') AS INT)"),
+    ("space", "part", "p_partkey", "CONCAT(p_brand, SPACE(3), '|')", "p_brand || '   |'"),
+    ("ascii", "part", "p_partkey", "ASCII(p_brand)", "CAST(ascii(p_brand) AS INT)"),
+    ("char_length", "part", "p_partkey", "CHAR_LENGTH(p_name) + CHARACTER_LENGTH(p_brand)", "CAST(length(p_name) + length(p_brand) AS INT)"),
+    ("log", "part", "p_partkey", "ROUND(LOG(p_size) + LOG10(p_size) + LOG2(p_size), 5)", "round(ln(p_size) + log10(p_size) + log2(p_size), 5)"),
+    ("pi", "part", "p_partkey", "ROUND(PI() * p_size, 6)", "round(pi() * p_size, 6)"),
+    ("random", "part", "p_partkey", "RAND() >= 0 AND RANDOM() < 1", "true"),
+    ("date_format", "orders", "o_orderkey", "DATE_FORMAT(o_orderdate, '%Y/%m/%d')", "strftime(o_orderdate, '%Y/%m/%d')"),
+    ("strftime", "orders", "o_orderkey", "STRFTIME(o_orderdate, '%d of %m %H:%M')", "strftime(o_orderdate, '%d of %m %H:%M')"),
+    ("time_format", "events", "event_id", "TIME_FORMAT(ts, '%H:%M:%S')", "strftime(ts, '%H:%M:%S')"),
+    ("to_char", "orders", "o_orderkey", "TO_CHAR(o_orderdate, 'YYYY-MM-DD HH24:MI')", "strftime(o_orderdate, '%Y-%m-%d %H:%M')"),
+    ("to_date", "orders", "o_orderkey", "CAST(TO_DATE('02.03.1997', 'DD.MM.YYYY'), TEXT)", "'1997-03-02'"),
+    ("to_timestamp", "orders", "o_orderkey", "CAST(TO_TIMESTAMP('1997-03-02 04:05:06'), TEXT)", "'1997-03-02 04:05:06'"),
+    ("date_trunc", "orders", "o_orderkey", "DATE_FORMAT(DATE_TRUNC('month', o_orderdate), '%Y-%m-%d')", "strftime(date_trunc('month', o_orderdate), '%Y-%m-%d')"),
+    ("date_part", "orders", "o_orderkey", "CAST(DATE_PART('year', o_orderdate), INT)", "CAST(year(o_orderdate) AS INT)"),
+    ("typeof", "part", "p_partkey", "TYPEOF(p_size)", "'int'"),
+    ("now", "part", "p_partkey", "NOW() >= CURRENT_DATE AND CURRENT_TIMESTAMP() >= CURRENT_DATE() AND LENGTH(UUID()) = 36", "true"),
+    ("current_time", "part", "p_partkey", "CURRENT_TIME() IS NOT NULL", "true"),
+    ("cast_float", "part", "p_partkey", "CAST(CAST(p_retailprice, TEXT), DOUBLE)", "p_retailprice"),
+    ("cast_bad", "part", "p_partkey", "CAST('12x', INT)", "CAST(NULL AS INT)"),
+    ("cast_bool", "part", "p_partkey", "CAST('true', BOOLEAN)", "true"),
+    ("cast_date", "orders", "o_orderkey", "CAST(CAST(o_orderdate, DATE), TEXT)", "strftime(o_orderdate, '%Y-%m-%d')"),
+    ("cast_decimal", "part", "p_partkey", "CAST(CAST('1.50', DECIMAL) AS DOUBLE)", "CAST(1.5 AS DOUBLE)"),
+):
+    text(f"fn_{_name}", f"SELECT {_key}, {_expr} AS v FROM {_from}", f"SELECT {_key}, {_duck or _expr} AS v FROM {_from}")
+
+
 def queries() -> dict:
-    return {name: fn for name, (fn, _) in REGISTRY.items()}
+    from tessera.plans import changing
+
+    return {name: fn for name, (fn, _) in (REGISTRY | changing.REGISTRY).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+    from tessera.plans import changing
+
+    return {name: sql for name, (_, sql) in (REGISTRY | changing.REGISTRY).items() if sql}

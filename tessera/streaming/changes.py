@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEED = "`table` STRING, event STRING, row STRING, at TIMESTAMP"
+from tessera.operators.store import FEED
+
 
 
 def change_stream(spark: SparkSession, root: str, table: str | None = None) -> DataFrame:
-    """Changes of a store's tables, each once, as they are written."""
+    """Committed changes of a store's tables and definitions, each once; the commit moves them into the folder."""
     feed = spark.readStream.schema(FEED).parquet(f"{root.rstrip('/')}/_changes")
     return feed.where(F.col("table") == table) if table else feed
 

@@ -64,7 +64,14 @@ def test_transactions(store):
     assert ids(store, "emp") == [2, 3]
 
 
-def test_trigger_truncate_feed(spark, store, tmp_path):
+def feed(spark, store, name):
+    query = change_stream(spark, store.root).writeStream.format("memory").queryName(name).start()
+    query.processAllAvailable()
+    query.stop()
+    return [tuple(r) for r in spark.table(name).select("table", "event", "row", "old").collect()]
+
+
+def test_trigger_truncate_feed(spark, store):
     seen = []
     store.on("emp", "AFTER", "DELETE", lambda s: seen.append(len(ids(s, "emp"))))
     store.delete("emp", "id = 3")
@@ -74,10 +81,85 @@ def test_trigger_truncate_feed(spark, store, tmp_path):
     store.truncate("emp")
     store.truncate("dept")
     assert ids(store, "dept") == []
-    query = change_stream(spark, f"file://{tmp_path}", "emp").writeStream.format("memory").queryName("feed").start()
-    query.processAllAvailable()
-    query.stop()
-    assert {r.event for r in spark.table("feed").collect()} == {"INSERT", "DELETE"}
+    events = [(t, e) for t, e, *_ in feed(spark, store, "feed")]
+    assert events.count(("emp", "DELETE")) == 1 and ("emp", "TRUNCATE") in events and ("dept", "CREATE") in events
+
+
+def test_feed_has_committed_work_alone(spark, store):
+    store.begin()
+    store.delete("emp", "id = 1")
+    store.savepoint("s")
+    store.delete("emp", "id = 2")
+    store.rollback("s")
+    store.commit()
+    store.begin()
+    store.update("emp", {"pay": "99"})
+    store.rollback()
+    with pytest.raises(ConstraintError):
+        store.update("emp", {"pay": "0"})
+    store.update("emp", {"pay": "pay + 1"}, "id = 2")
+    rows = [r for r in sorted(feed(spark, store, "committed"), key=str) if r[:2] in (("emp", "DELETE"), ("emp", "UPDATE"))]
+    assert rows == [("emp", "DELETE", '{"id":1,"dept":1,"pay":10}', None), ("emp", "UPDATE", '{"id":2,"dept":2,"pay":11}', '{"id":2,"dept":2,"pay":10}')]
+
+
+def test_key_updates_act_on_children(spark, store):
+    with pytest.raises(ConstraintError):
+        store.update("dept", {"id": "3"}, "id = 1")  # the default is no action
+    assert ids(store, "dept") == [1, 2] and ids(store, "emp") == [1, 2, 3]
+    store.tables["emp"].foreign[0].on_update = "cascade"
+    store.update("dept", {"id": "id + 1"})
+    assert {r.id: r.dept for r in store.read("emp").collect()} == {1: 2, 2: 3, 3: None}
+    assert ids(store, "dept") == [2, 3]
+
+
+def test_rows_that_refer_to_their_own_table(spark, store):
+    store.create("tree", Table("id INT, up INT", keys=[["id"]], foreign=[ForeignKey(["up"], "tree", ["id"], "cascade")]))
+    store.insert("tree", spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None)], "id INT, up INT"))
+    with pytest.raises(ConstraintError):
+        store.insert("tree", spark.createDataFrame([(5, 9)], "id INT, up INT"))
+    store.delete("tree", "id = 1")
+    assert ids(store, "tree") == [4]
+
+
+def test_store_opens_again(spark, store):
+    store.begin()
+    store.delete("emp")
+    other = Store(spark, store.root)
+    assert ids(other, "emp") == [1, 2, 3] and other.tables == Store(spark, store.root).tables
+    store.rollback()
+    other.insert("dept", spark.createDataFrame([(7, "z")], "id INT, name STRING"))
+    with pytest.raises(ConstraintError):
+        other.insert("emp", spark.createDataFrame([(1, 1)], "id INT, dept INT"))
+    assert ids(Store(spark, store.root), "dept") == [1, 2, 7]
+    with pytest.raises(ValueError):
+        store.delete("emp", "id = 1")  # the other one has written since
+    assert ids(store, "dept") == [1, 2, 7] and ids(store, "emp") == [1, 2, 3]
+
+
+def test_definitions_are_part_of_transactions(spark, store):
+    store.begin()
+    store.create("t", Table("x INT"))
+    store.drop("emp")
+    assert "t" in store.tables and "emp" not in store.tables
+    store.rollback()
+    assert "t" not in store.tables and ids(store, "emp") == [1, 2, 3]
+    with pytest.raises(ValueError):
+        store.rollback()
+
+
+def test_inserts_append(spark, store):
+    before = list(store.tables["dept"].files)
+    store.insert("dept", spark.createDataFrame([(i, "x") for i in range(10, 13)], "id INT, name STRING"))
+    assert store.tables["dept"].files[: len(before)] == before and len(store.tables["dept"].files) == len(before) + 1
+
+
+def test_no_cascade_comes_back(spark, store):
+    store.create("a", Table("id INT, b INT", keys=[["id"]]))
+    store.create("b", Table("id INT, a INT", keys=[["id"]], foreign=[ForeignKey(["a"], "a", ["id"], "cascade")]))
+    table = Table("id INT, b INT", keys=[["id"]], foreign=[ForeignKey(["b"], "b", ["id"], "cascade")])
+    with pytest.raises(ConstraintError):
+        store.alter("a", table)
+    assert store.tables["a"].foreign == []
 
 
 def test_dump(spark):
