@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def trimmed(fn):
+    """A function of Arrow batches, or of one table, that gives the memory it freed back to the machine when it ends.
+
+    Python workers live on between tasks; without this each would keep its largest task's memory beside the executor's.
+    """
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    if inspect.isgeneratorfunction(fn):
+
+        @functools.wraps(fn)
+        def batches(given):
+            try:
+                yield from fn(given)
+            finally:
+                release()
+
+        return batches
+
+    @functools.wraps(fn)
+    def one(given):
+        try:
+            return fn(given)
+        finally:
+            release()
+
+    return one
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write rows to the shared folder and read them back: cuts lineage, survives lost executors, computes once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

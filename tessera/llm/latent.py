@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import trimmed
 from tessera.llm.partenum import mixed
 
 #: Bytes that separate words, and bytes of marks that do not tell words apart (fixed values).
@@ -80,7 +81,7 @@ def passage_sketch(docs: DataFrame, probe: np.ndarray, passage: int) -> tuple[np
             total[:] += a.T @ (a @ single)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (x.as_py() for x in batch.column(0)):
                 ids = (hashes.of(text) % np.uint64(size)).astype(np.int64)
                 for start in range(0, len(ids), passage * 256):
                     some = ids[start : start + passage * 256]
@@ -95,7 +96,7 @@ def passage_sketch(docs: DataFrame, probe: np.ndarray, passage: int) -> tuple[np
         rows = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * rank), pa.array(total[some].ravel()))
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(counts[some]), rows], names=["feature", "n", "z"])
 
-    parts = docs.select("text").mapInArrow(part, "feature int, n long, z array<double>")
+    parts = docs.select("text").mapInArrow(trimmed(part), "feature int, n long, z array<double>")
     sums = [F.sum(F.get("z", F.lit(i))) for i in range(rank)]
     counts, sketch = np.zeros(size, np.int64), np.zeros((size, rank))
     for row in parts.groupBy("feature").agg(F.sum("n").alias("n"), F.array(*sums).alias("z")).collect():
@@ -240,7 +241,7 @@ def find_leaks(
             hashes = WordHashes()
             for batch in batches:
                 rows, ids = [], []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc_id, text in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True):
                     found = leaks(hashes.of(text))
                     rows.extend(found)
                     ids.extend([doc_id] * len(found))
@@ -249,7 +250,7 @@ def find_leaks(
                     [pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names]
                 )
 
-        out = out.unionAll(docs.mapInArrow(search, schema))
+        out = out.unionAll(docs.mapInArrow(trimmed(search), schema))
     return out
 
 
@@ -280,10 +281,10 @@ def drop_leaks(
         def clean(batches: Iterator[pa.RecordBatch], leaks=leaks) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
-                free = [not leaks(hashes.of(text)) for text in batch.column(place).to_pylist()]
+                free = [not leaks(hashes.of(text.as_py())) for text in batch.column(place)]
                 yield batch.filter(pa.array(free, pa.bool_()))
 
-        left = left.mapInArrow(clean, docs.schema)
+        left = left.mapInArrow(trimmed(clean), docs.schema)
     return left
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import trimmed
 from tessera.llm.line_rules import SEPARATORS, SYMBOLS, split_words
 
 #: Features of one line; a line's emission also sees those of the line before and the line after.
@@ -187,7 +188,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, lines: int) -
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id").mapInArrow(features, "doc_id long, x array<float>, quality int")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id").mapInArrow(trimmed(features), "doc_id long, x array<float>, quality int")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("one")).select("one.*")  # however often a document is there
     found = [(np.array(r["x"], np.float32).reshape(-1, len(FEATURES)), r["quality"]) for r in rows.toLocalIterator()]
     return sorted(found, key=lambda r: (len(r[0]), r[1], r[0].tobytes()))  # the same order on every run
@@ -220,7 +221,7 @@ def line_crf_quality(docs: DataFrame, labels: DataFrame, sample: int = 1500, lin
     doc_id = F.col("doc_id").cast("long")
     held = F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
     return docs.select(doc_id.alias("doc_id"), held.alias("held_out"), "text").mapInArrow(
-        judge, "doc_id long, held_out boolean, score double, predicted int, n_lines long"
+        trimmed(judge), "doc_id long, held_out boolean, score double, predicted int, n_lines long"
     )
 
 
@@ -239,4 +240,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 1500, lines: int
             good = [model.score(*text_features(text.as_py() or "")) >= threshold for text in batch.column(place)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return docs.mapInArrow(trimmed(judge), docs.schema)

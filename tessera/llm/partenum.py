@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, stage, unstage
+from tessera.llm.common import components, stage, trimmed, unstage
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -191,8 +191,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _binary(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
-    return batch.column(column).cast(pa.binary()).to_pylist()
+def _binary(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
+    """Texts one at a time, not all of a batch at once."""
+    return (x.as_py() for x in batch.column(column).cast(pa.binary()))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit numbers as rows, without a Python number for each."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    values = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def shingle_rows(docs: DataFrame, words: int) -> DataFrame:
@@ -206,14 +214,14 @@ def shingle_rows(docs: DataFrame, words: int) -> DataFrame:
                 elements = shingle_set(text, words, known)
                 size.append(len(elements))
                 names.append(np.frombuffer(xxhash.xxh3_128_digest(elements.tobytes()), "<i8"))
-                sketches.append(parity_sketch(elements).tolist())
+                sketches.append(parity_sketch(elements))
             hi, lo = np.array(names, np.int64).reshape(-1, 2).T
             yield pa.record_batch(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(hi), pa.array(lo), pa.array(sketches, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(hi), pa.array(lo), _lists(sketches)],
                 names=["doc_id", "n_shingles", "hi", "lo", "sketch"],
             )
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, hi long, lo long, sketch array<long>")
+    return docs.mapInArrow(trimmed(rows), "doc_id long, n_shingles long, hi long, lo long, sketch array<long>")
 
 
 def shared_signatures(docs: DataFrame, words: int, scheme: PartEnum, parts: int, spread: int, flush: int = 1 << 18) -> DataFrame:
@@ -295,8 +303,8 @@ def shared_signatures(docs: DataFrame, words: int, scheme: PartEnum, parts: int,
             sig, doc = sig[use], doc[use]
         return pa.table({"sig": pa.array(_signed(sig)), "doc_id": pa.array(doc), "hub": pa.array(hubs)})
 
-    packed = docs.mapInArrow(sign, "part long, sub long, sig binary, doc binary, more binary")
-    return packed.groupBy("part", "sub").applyInArrow(search, "sig long, doc_id long, hub long")
+    packed = docs.mapInArrow(trimmed(sign), "part long, sub long, sig binary, doc binary, more binary")
+    return packed.groupBy("part", "sub").applyInArrow(trimmed(search), "sig long, doc_id long, hub long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -313,13 +321,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 if tuple(np.frombuffer(xxhash.xxh3_128_digest(elements.tobytes()), "<i8").tolist()) == (hi, lo):
                     ids.append(doc_id)
                     sets.append(_signed(elements))
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "elements"]
-            )
+            yield pa.record_batch([pa.array(ids, pa.int64()), _lists(sets)], names=["doc_id", "elements"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "hi", "lo").mapInArrow(rows, "doc_id long, elements array<long>")
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "hi", "lo").mapInArrow(trimmed(rows), "doc_id long, elements array<long>")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -431,7 +435,10 @@ def _across(rows: DataFrame, nodes: DataFrame, percent: int, forest: bool, block
         sig = np.array(group.column("sig"))
         node, c, size, own = (np.array(group.column(x)) for x in ("node", "c", "size", "own"))
         p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        sketch = [np.array(x, np.int64).view(np.uint64) for x in group.column("sketch").to_pylist()]
+        rows = group.column("sketch").combine_chunks()
+        rows = rows if isinstance(rows, pa.Array) else pa.concat_arrays(rows.chunks)
+        values, ends = np.array(rows.flatten()).view(np.uint64), np.cumsum(np.array(rows.value_lengths()))
+        sketch = [values[b - n : b] for b, n in zip(ends.tolist(), np.array(rows.value_lengths()).tolist(), strict=True)]
         order = np.argsort(sig, kind="stable")
         ends = np.flatnonzero(np.concatenate([sig[order][1:] != sig[order][:-1], [True]])) + 1
         pairs, a = [np.zeros((0, 2), np.int64)], 0
@@ -444,7 +451,7 @@ def _across(rows: DataFrame, nodes: DataFrame, percent: int, forest: bool, block
         both = np.unique(np.concatenate(pairs), axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
-    return sketched.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+    return sketched.groupBy("key", "p", "q").applyInArrow(trimmed(compare), "a long, b long").distinct()
 
 
 def similar_components(
