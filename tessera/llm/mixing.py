@@ -74,7 +74,7 @@ def _packed(docs: DataFrame, rows_per_bucket: int) -> DataFrame:
 
 def _sources(packed: DataFrame, block_words: int, seed: int) -> DataFrame:
     """Sources with targets and with the slots they get: whole passes, then blocks of one more for the rest."""
-    sizes = packed.groupBy("source", "_source").agg(F.sum("size").alias("source_size"))
+    sizes = packed.groupBy("source", "_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_documents"))
     sources = source_targets(sizes).withColumn("_blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
     sources = sources.withColumn("_passes", F.coalesce(F.floor(F.expr("try_divide(target, source_size)")), F.lit(0)))
     rest = F.round(F.expr("try_divide((target - _passes * source_size) * _blocks, source_size)"))
@@ -181,7 +181,7 @@ def mix_slots(
     )
 
 
-def whole_copies(taken: DataFrame, seed: int, rows_per_group: int = 4096) -> DataFrame:
+def whole_copies(taken: DataFrame, sources: DataFrame, seed: int, rows_per_group: int = 4096) -> DataFrame:
     """Rows (_source, _bucket, _row, size, taken) with words gain _copies: whole copies whose words come to those taken.
 
     A row has taken div size copies, and one more where the running sum of what is left over passes a whole number. Sums
@@ -190,7 +190,7 @@ def whole_copies(taken: DataFrame, seed: int, rows_per_group: int = 4096) -> Dat
     about rows_per_group rows of one source, so a hot source has many and the others one each.
     """
     one = 1 << 32
-    counts = taken.groupBy("_source").agg(F.ceil(F.count("*") / rows_per_group).cast("long").alias("_groups"))
+    counts = sources.select("_source", F.ceil(F.col("_documents") / rows_per_group).cast("long").alias("_groups"))
     grouped = taken.where("size > 0").join(counts, "_source")
     grouped = grouped.withColumn("_group", F.pmod(F.xxhash64("_bucket", "_row", F.lit(seed)), F.col("_groups")))
     grouped = grouped.withColumn("_left", F.expr(f"(taken % size) * {one}L div size"))
@@ -213,7 +213,7 @@ def mixed_documents(
     table gives no rows; columns may have any names.
     """
     key = ["_source", "_known", "_id", "size"]
-    copies = whole_copies(_taken(docs, block_words, out_shards, seed, rows_per_bucket)[0], seed)
+    copies = whole_copies(*_taken(docs, block_words, out_shards, seed, rows_per_bucket), seed)
 
     def known(rows: DataFrame) -> DataFrame:
         doc_id = F.col("doc_id").cast("long")
