@@ -597,3 +597,23 @@ def test_pipeline(spark):
         docs = step(spark, docs, SF)
         assert docs.columns == documents.columns
     assert corpus_pipeline.run(spark, SF).count() == docs.count() > 0
+
+
+def test_pipeline_stages_take_nulls_repeats_and_empty_tables(spark, docs, rows, empty):
+    import corpus_pipeline
+
+    steps = dict(corpus_pipeline.STAGES)
+    counts = {}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        kept = step(spark, docs, SF)
+        assert kept.columns == docs.columns and step(spark, empty, SF).count() == 0
+        counts[name] = collections.Counter(r.doc_id for r in kept.collect())
+    ids = collections.Counter(i for i, *_ in rows)
+    for name in ("quality classifier", "benchmark decontamination"):
+        assert all(n == ids[i] for i, n in counts[name].items())  # equal rows stay or go together
+    assert {-1, -2, -3, None} <= set(counts["benchmark decontamination"]) and not {-1, -2, -3} & set(counts["quality classifier"])
+    near = counts["n-gram Jaccard join"]
+    assert near[-7] == 1 and {-1, -2, -3, None} <= set(near) and set(near) & {-8, -9} == {-9} and set(near) & {-10, -11, -12} == {-12}
+    mixed = counts["mixing sources to target weights"]
+    assert not {-1, -2, -3} & set(mixed) and all(n <= 3 * ids[i] for i, n in mixed.items())
+    assert steps["sharding"](spark, docs, SF).count() == len(rows) and steps["sharding"](spark, empty, SF).count() == 0
