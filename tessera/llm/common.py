@@ -88,6 +88,19 @@ def one_by_one(rows: DataFrame, times: str, number: str, chunk: int = 4096) -> D
     return few.unionByName(many.withColumn(number, each).drop("_chunk"))
 
 
+def join_by_key(rows: DataFrame, keys: DataFrame, key: str, total: int, count: str = "n", hot: int = 1000) -> DataFrame:
+    """rows joined with keys, one row for each key with the number of rows it has, by key; the count goes.
+
+    Keys of over hot rows and a thousandth of total, the number of rows or more, are less than a thousand: those are
+    broadcast, so that no task gets all rows of one. The others meet their rows in one shuffle, with no more than that for each.
+    """
+    limit = max(hot, total // 1000)
+    few = F.broadcast(keys.where(F.col(count) > limit).drop(count))
+    often = rows.join(few, key)
+    rest = rows.join(few.select(key), key, "left_anti").join(keys.where(F.col(count) <= limit).drop(count), key)
+    return often.unionByName(rest)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text without building them: each word becomes one letter, and the letters are counted."""
     marks = F.regexp_replace(text, WORD, "a")
@@ -178,26 +191,28 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), component the smallest node.
 
     Alternating large-star and small-star steps on distributed rows; each round is staged, and only a count of
-    edges and a checksum reach the driver. Stars at hubs are joined by key, which adaptive execution splits.
+    edges and a checksum reach the driver. Hubs, the nodes of a thousandth of all edges, are joined by broadcast.
     """
     cur = stage(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
     )
-    seen = None
+    def checked() -> tuple:
+        return tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now = checked()
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_by_key(both.where("v > u"), least, "u", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stage(large.where("u <> v").distinct(), name)
+        lows = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_by_key(large, lows, "u", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(lows.select("u", F.col("m").alias("v"))).where("u <> v")
         last, cur = cur, stage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-        unstage(last)
-        now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        unstage(last, large)
+        seen, now = now, checked()
         if now == seen:
             break
-        seen = now
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     found = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
     found.staged_at = cur.staged_at

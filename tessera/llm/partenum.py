@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, stage, trimmed, unstage
+from tessera.llm.common import components, join_by_key, stage, trimmed, unstage
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -510,7 +510,10 @@ def similar_components(
         found = rows.join(classes.select("node", F.col("component").alias("c")), "node", "left")
         found = found.select("sig", "node", F.coalesce("c", "node").alias("c"))
         split = found.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 <> c2")
-        return stage(found.join(split.select("sig", "n"), "sig"), "split")
+        found, split = stage(found, "found"), stage(split.select("sig", "n", F.col("n").alias("rows")), "many")
+        out = stage(join_by_key(found, split, "sig", found.count(), "rows"), "split")
+        unstage(found, split)
+        return out
 
     classes = joined()
     rows = classed(shared.select("sig", "node").union(shared.select("sig", F.col("hub").alias("node"))).distinct())

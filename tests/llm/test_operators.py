@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import latent, line_crf, line_rules, mixing, partenum, pii, secrets, sharding, suffix_merge, token_scan
-from tessera.llm.common import components, with_matches
+from tessera.llm.common import components, join_by_key, with_matches
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -265,6 +265,30 @@ def test_keep_one_keeps_columns(docs):
     assert len(kept) == len(set(kept)) and {-8, -9} & set(kept) == {-9}
 
 
+def test_hubs_are_joined_apart(spark):
+    rng = random.Random(3)
+    edges = [(0, i) for i in range(1, 2500)] + [(9000, i) for i in range(5000, 7500)] + [(2400, 9001), (9001, 5000)]
+    edges += [(20000 + i, 20001 + i) for i in range(40)] + [(50000 + i, 60000) for i in range(1500)]
+    rng.shuffle(edges)
+    leader = {}
+
+    def find(x):
+        while leader.setdefault(x, x) != x:
+            x = leader[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        leader[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(leader) and {r.node: r.component for r in got} == {x: find(x) for x in leader}
+    rows = spark.createDataFrame([(i, 1 if i < 30 else i) for i in range(60)], "x long, k long").withColumn("extra", F.lit("e"))
+    keys = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("most"))
+    joined = join_by_key(rows, keys, "k", 60, hot=10)
+    assert sorted((r.x, r.k, r.extra, r.most) for r in joined.collect()) == [(i, 1 if i < 30 else i, "e", max(i, 29)) for i in range(60)]
+    assert joined.columns == ["k", "x", "extra", "most"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, j) for j in range(101, 140)] + [(7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
