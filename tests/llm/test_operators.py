@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from tessera.llm import latent, line_crf, line_rules, mixing, partenum, pii, secrets, sharding, suffix_merge, token_scan
@@ -265,6 +266,20 @@ def test_keep_one_keeps_columns(docs):
     assert len(kept) == len(set(kept)) and {-8, -9} & set(kept) == {-9}
 
 
+@pytest.mark.parametrize("name", ["op4_partenum_join", "op6_suffix_runs"])
+def test_twins_in_duckdb(docs, rows, name):
+    import duckdb
+    import pyarrow as pa
+
+    from tessera.llm import queries
+
+    ids, texts, _ = zip(*rows, strict=True)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())}))
+    of = {"op4_partenum_join": lambda d: partenum.similar_components(d, words=3, percent=90), "op6_suffix_runs": suffix_merge.remove_repeats}
+    assert compare(of[name](docs), con, queries.oracle_sql()[name]) == ""
+
+
 def test_hubs_are_joined_apart(spark):
     rng = random.Random(3)
     edges = [(0, i) for i in range(1, 2500)] + [(9000, i) for i in range(5000, 7500)] + [(2400, 9001), (9001, 5000)]
